@@ -1,0 +1,4 @@
+"""Queries over the driver's tables, one for each operator, and the same in SQL."""
+
+QUERIES = {}
+SQL = {}
