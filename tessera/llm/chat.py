@@ -69,6 +69,6 @@ d AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY
 k AS (SELECT * FROM d a WHERE NOT EXISTS (
   SELECT 1 FROM d b WHERE len(b.turns) > len(a.turns) AND b.turns[1] = a.turns[1] AND b.turns[1:len(a.turns)] = a.turns))
 SELECT conv_id, copies, CAST(len(turns) AS BIGINT) AS n_turns,
-  array_to_string(list_transform(turns, x -> concat('<|im_start|>', x.role, chr(10), x.text, '<|im_end|>', chr(10))), '') AS rendered
+  array_to_string(list_transform(turns, lambda x: concat('<|im_start|>', x.role, chr(10), x.text, '<|im_end|>', chr(10))), '') AS rendered
 FROM k
 """
