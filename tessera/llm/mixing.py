@@ -9,8 +9,9 @@ row per source finds it.
 Taking: a source's target is `whole` repetitions of each document and a rest of words. Documents
 with the smallest seeded hashes fill the rest. To find where it ends without sorting a source in
 one task, words are added up per hash bucket first; only the bucket in which the rest ends is
-ordered. What then is missing is filled by two documents more, the largest that still fits each
-time, and at the end by the smallest if that comes nearer.
+ordered. The document across the end is left out and what is missing filled the same way by
+the documents that still fit, then by the largest that fits, at last by the smallest if that comes
+nearer.
 """
 
 from __future__ import annotations
@@ -50,7 +51,22 @@ def water_levels(sizes: DataFrame, max_epochs: int = 3, weights: tuple[int, ...]
     return s.withColumn("target", filled).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, bucket_bits: int = 12) -> DataFrame:
+def _fill(pool: DataFrame, bucket_bits: int) -> DataFrame:
+    """Of each source the units with the smallest hashes whose words together stay within _left."""
+    pool = pool.withColumn("_bucket", F.shiftrightunsigned("_h", 64 - bucket_bits))
+    per = pool.groupBy("_key", "_bucket").agg(F.sum("_unit").alias("_words"), F.first("_left").alias("_left"))
+    run = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = per.withColumn("_upto", F.sum("_words").over(run)).withColumn("_room", F.col("_left") - F.col("_upto") + F.col("_words"))
+    # A bucket is in if it ends within what is left; only the one across the end is ordered by hash.
+    per = per.where("_room > 0").select("_key", "_bucket", (F.col("_upto") <= F.col("_left")).alias("_whole"), "_room")
+    cols = ["_key", "_h", "size", "_unit"]
+    u = pool.select("_bucket", *cols).join(per, ["_key", "_bucket"])
+    within = Window.partitionBy("_key", "_bucket").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = u.where("NOT _whole").withColumn("_sum", F.sum("_unit").over(within)).where("_sum <= _room")
+    return u.where("_whole").select(*cols).unionByName(edge.select(*cols))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, bucket_bits: int = 12, fills: int = 3) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken (words, repetitions counted).
 
     Null source is a source of its own; null or wordless texts have size 0 and take 0. Ties of the
@@ -78,34 +94,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.round(F.col("target") - F.col("whole") * F.col("source_size"))))
     plan = written(plan, "mix-plan")
 
-    bucket = F.shiftrightunsigned("_h", 64 - bucket_bits)
-    units = units.withColumn("_bucket", bucket)
-    per = units.groupBy("_key", "_bucket").agg(F.sum("_unit").alias("_words"))
-    run = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn("_upto", F.sum("_words").over(run)).join(plan.select("_key", "rest"), "_key")
-    # A bucket is in if it ends within the rest; the one across the end is ordered by hash.
-    per = per.withColumn("_state", F.when(F.col("_upto") <= F.col("rest"), 2).when(F.col("_upto") - F.col("_words") <= F.col("rest"), 1).otherwise(0))
-    per = per.select("_key", "_bucket", "_state", (F.col("rest") - (F.col("_upto") - F.col("_words"))).alias("_room"))
-    u = units.join(per, ["_key", "_bucket"])
-    within = Window.partitionBy("_key", "_bucket").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = u.where("_state = 1").withColumn("_in", F.sum("_unit").over(within) <= F.col("_room"))
-    u = u.where("_state <> 1").withColumn("_in", F.col("_state") == 2).unionByName(edge)
-    u = written(u.select("_key", "_h", "size", "_unit", "_in"), "mix-units")
-
-    # What is still missing: twice the largest that fits, then the smallest if that comes nearer.
-    picks = []
-    left = plan.join(u.where("_in").groupBy("_key").agg(F.sum("_unit").alias("_got")), "_key", "left").select("_key", (F.col("rest") - F.coalesce("_got", F.lit(0))).alias("_left"))
-    pool = u.where("NOT _in AND _unit > 0").select("_key", "_h", "size", "_unit")
-    for turn in range(3):
-        room = written(left.select("_key", "_left"), "mix-left")
-        if picks:
-            pool = pool.join(picks[-1].select("_key", "_h", "size"), ["_key", "_h", "size"], "left_anti")
-        fits = F.col("_unit") <= F.col("_left") if turn < 2 else F.col("_unit") < 2 * F.col("_left")
-        order = F.struct((F.col("_unit") if turn < 2 else -F.col("_unit")).alias("rank"), "_h", "size", "_unit")
-        best = pool.join(room, "_key").where(fits).groupBy("_key").agg(F.max(order).alias("b"))
-        picks.append(written(best.select("_key", "b._h", "b.size", "b._unit"), "mix-pick"))
-        left = room.join(picks[-1].select("_key", F.col("_unit").alias("_p")), "_key", "left").select("_key", (F.col("_left") - F.coalesce("_p", F.lit(0))).alias("_left"))
-    chosen = reduce(DataFrame.unionByName, [u.where("_in").select("_key", "_h", "size"), *(p.select("_key", "_h", "size") for p in picks)]).withColumn("_extra", F.lit(1))
+    unit = ["_key", "_h", "size"]
+    pool = units.select(*unit, "_unit").where("_unit > 0")
+    left = plan.select("_key", F.col("rest").alias("_left"))
+    parts = []
+    for turn in range(fills + 3):
+        if parts:
+            pool = pool.join(parts[-1].select(*unit), unit, "left_anti")
+        open_ = pool.join(left, "_key")
+        if turn < fills:
+            part = _fill(open_.where("_unit <= _left"), bucket_bits)
+        else:  # the largest that fits, and at last the smallest if that comes nearer
+            last = turn == fills + 2
+            order = F.struct((-F.col("_unit") if last else F.col("_unit")).alias("rank"), "_h", "size", "_unit")
+            best = open_.where("_unit < 2 * _left" if last else "_unit <= _left").groupBy("_key").agg(F.max(order).alias("b"))
+            part = best.select("_key", "b._h", "b.size", "b._unit")
+        parts.append(written(part, "mix-part"))
+        got = parts[-1].groupBy("_key").agg(F.sum("_unit").alias("_got"))
+        left = written(left.join(got, "_key", "left").select("_key", (F.col("_left") - F.coalesce("_got", F.lit(0))).alias("_left")), "mix-left")
+    chosen = reduce(DataFrame.unionByName, parts).select(*unit, F.lit(1).alias("_extra"))
 
     taken = d.join(chosen, ["_key", "_h", "size"], "left")
     p = plan.select("_key", "source_size", "target", "whole")
