@@ -103,11 +103,11 @@ class Rolling:
         return mix((self._sums[length:] - self._sums[:-length]) * self._back[: len(self._sums) - length])
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLICE_BYTES each."""
+def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes each."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > SLICE_BYTES:
+        if size and size + len(t) > most:
             yield start, i
             start, size = i, 0
         size += len(t) + 1
