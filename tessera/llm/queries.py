@@ -5,12 +5,14 @@ from __future__ import annotations
 from .chat import OP7_SQL, op7_snapshot_collapse
 from .decontam import op2_cgk_decontamination
 from .mixing import op9_water_filling
+from .quality import op6_additive_quality
 from .tokenstore import op3_content_store
 from .wordpiece import op8_wordpiece_counts
 
 QUERIES = {
     "op2_cgk_decontamination": op2_cgk_decontamination,
     "op3_content_store": op3_content_store,
+    "op6_additive_quality": op6_additive_quality,
     "op7_snapshot_collapse": op7_snapshot_collapse,
     "op8_wordpiece_counts": op8_wordpiece_counts,
     "op9_water_filling": op9_water_filling,
