@@ -7,6 +7,7 @@ from .decontam import op2_cgk_decontamination
 from .mixing import op9_water_filling
 from .quality import op6_additive_quality
 from .tokenstore import op3_content_store
+from .warc import op10_seekable_warc
 from .wordpiece import op8_wordpiece_counts
 
 QUERIES = {
@@ -16,5 +17,6 @@ QUERIES = {
     "op7_snapshot_collapse": op7_snapshot_collapse,
     "op8_wordpiece_counts": op8_wordpiece_counts,
     "op9_water_filling": op9_water_filling,
+    "op10_seekable_warc": op10_seekable_warc,
 }
 SQL = {"op7_snapshot_collapse": OP7_SQL}
