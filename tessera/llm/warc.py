@@ -37,8 +37,11 @@ def digest(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> tuple[str, bytes]:
-    """(record id, the record). A revisit has no payload of its own, but its digest and size."""
-    name = f"<urn:tessera:page:{'' if page_id is None else page_id}:{uuid.uuid4().hex}>"
+    """(record id, the record). A revisit has no payload of its own, but its digest and size.
+
+    Ids are made of page id and digest, so that a revisit can name its response.
+    """
+    name = f"<urn:tessera:page:{'' if page_id is None else page_id}:{digest(payload)}>"
     block = b"" if revisit else payload
     target = "".join(c if " " < c else f"%{ord(c):02X}" for c in url or "")
     head = [
@@ -53,7 +56,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:tessera:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:tessera:page:{refers_to}:{digest(payload)}>"]
     head += [f"Content-Length: {len(block)}", "", ""]
     return name, "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -217,7 +220,7 @@ def read_archive(archive: Archive) -> DataFrame:
                     told, revisit = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"] == "revisit"
                     if not revisit and (digest(block) != told or len(block) != int(fields["X-Payload-Length"])):
                         raise ValueError(f"damaged payload of {fields['WARC-Record-ID']}")
-                    page, refers = fields["X-Page-ID"], fields.get("WARC-Refers-To", "").removeprefix("<urn:tessera:page:").rstrip(">")
+                    page, refers = fields["X-Page-ID"], fields.get("WARC-Refers-To", "").removeprefix("<urn:tessera:page:").split(":")[0]
                     rows.append((int(page) if page else None, fields["WARC-Target-URI"], fields["WARC-Type"], told, int(fields["X-Payload-Length"]), int(refers) if refers else None, None if revisit else block))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
