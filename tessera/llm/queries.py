@@ -6,6 +6,7 @@ from .chat import OP7_SQL, op7_snapshot_collapse
 from .decontam import op2_cgk_decontamination
 from .mixing import op9_water_filling
 from .quality import op6_additive_quality
+from .simhash import op5_pigeonring_simhash
 from .tokenstore import op3_content_store
 from .warc import op10_seekable_warc
 from .wordpiece import op8_wordpiece_counts
@@ -13,6 +14,7 @@ from .wordpiece import op8_wordpiece_counts
 QUERIES = {
     "op2_cgk_decontamination": op2_cgk_decontamination,
     "op3_content_store": op3_content_store,
+    "op5_pigeonring_simhash": op5_pigeonring_simhash,
     "op6_additive_quality": op6_additive_quality,
     "op7_snapshot_collapse": op7_snapshot_collapse,
     "op8_wordpiece_counts": op8_wordpiece_counts,
