@@ -7,6 +7,7 @@ from .decontam import op2_cgk_decontamination
 from .mixing import op9_water_filling
 from .quality import op6_additive_quality
 from .simhash import op5_pigeonring_simhash
+from .substring import op4_count_min_substring
 from .tokenstore import op3_content_store
 from .warc import op10_seekable_warc
 from .wordpiece import op8_wordpiece_counts
@@ -14,6 +15,7 @@ from .wordpiece import op8_wordpiece_counts
 QUERIES = {
     "op2_cgk_decontamination": op2_cgk_decontamination,
     "op3_content_store": op3_content_store,
+    "op4_count_min_substring": op4_count_min_substring,
     "op5_pigeonring_simhash": op5_pigeonring_simhash,
     "op6_additive_quality": op6_additive_quality,
     "op7_snapshot_collapse": op7_snapshot_collapse,
