@@ -92,8 +92,9 @@ class Rolling:
 
     def __init__(self, hashes: np.ndarray, base: int):
         n = len(hashes) + 1
-        self._back = np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, pow(base, -1, 2**64), np.uint64)]).astype(np.uint64))
-        power = np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, base, np.uint64)]).astype(np.uint64))
+        one = np.ones(1, np.uint64)
+        self._back = np.multiply.accumulate(np.concatenate([one, np.full(n - 1, pow(base, -1, 2**64), np.uint64)]))
+        power = np.multiply.accumulate(np.concatenate([one, np.full(n - 1, base, np.uint64)]))
         self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
 
     def runs(self, length: int) -> np.ndarray:
