@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op1_posting_lists
 from .chat import OP7_SQL, op7_snapshot_collapse
 from .decontam import op2_cgk_decontamination
 from .mixing import op9_water_filling
@@ -13,6 +14,7 @@ from .warc import op10_seekable_warc
 from .wordpiece import op8_wordpiece_counts
 
 QUERIES = {
+    "op1_posting_lists": op1_posting_lists,
     "op2_cgk_decontamination": op2_cgk_decontamination,
     "op3_content_store": op3_content_store,
     "op4_count_min_substring": op4_count_min_substring,
