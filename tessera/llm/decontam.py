@@ -119,7 +119,7 @@ class Index:
         """(text, item_id, start_word, n_words, distance), the best window for each text and item."""
         w = Words([normal(t) for t in texts])
         n = len(w.hash)
-        if n < 2:
+        if n < 2 or not self.items:
             return []
         doc = np.repeat(np.arange(len(texts)), np.diff(w.bounds))
         h = np.concatenate([w.hash, np.zeros(1, np.uint64)])
@@ -163,6 +163,19 @@ class Index:
         return [(t, self.items[i][0], s - int(w.bounds[t]), len(self.items[i][1]), d) for (t, i), (d, s) in sorted(found.items())]
 
 
+def _indexes(items: DataFrame, max_edits: float, min_words: int, samples: int, recall: float, seed: int) -> list:
+    """Broadcasts of the LSH tables of blocks of at most about BLOCK_ITEMS items."""
+    spark = items.sparkSession
+    it = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    blocks = max(1, math.ceil(it.count() / BLOCK_ITEMS))
+    out = []
+    for b in range(blocks):
+        part = it if blocks == 1 else it.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        rows = [(r.item_id, r.text.encode()) for r in part.toLocalIterator()]
+        out.append(spark.sparkContext.broadcast(Index(rows, max_edits, min_words, samples, recall, seed)))
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, min_words: int = MIN_WORDS, samples: int = 3, recall: float = 0.999, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start_word, n_words, distance: one row for each document row and item found in it.
 
@@ -171,15 +184,9 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     their rows, as do repeated documents; of several windows the nearest counts, then the first.
     Whole texts are searched. Empty tables give no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    it = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    blocks = max(1, math.ceil(it.count() / BLOCK_ITEMS))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for b in range(blocks):
-        part = it if blocks == 1 else it.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = [(r.item_id, r.text.encode()) for r in part.toLocalIterator()]
-        shared = spark.sparkContext.broadcast(Index(rows, max_edits, min_words, samples, recall, seed))
+    for shared in _indexes(items, max_edits, min_words, samples, recall, seed):
 
         def run(batches: Iterator, shared=shared) -> Iterator:
             import pyarrow as pa
@@ -188,7 +195,7 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
             for batch in batches:
                 texts, out = utf8(batch.column(1)), []
                 for i, j in slices(texts, 4 * SLICE_BYTES):
-                    out += [(i + t, *more) for t, *more in index.search(texts[i:j])] if index.items else []
+                    out += [(i + t, *more) for t, *more in index.search(texts[i:j])]
                 ids = batch.column(0).take(pa.array([x[0] for x in out], pa.int64()))
                 rest = [pa.array([x[k] for x in out], pa.int32() if k == 4 else pa.int64()) for k in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([ids, *rest], names=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -198,5 +205,25 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     return out
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, in which no item is found; map-only, one pass for each block of items."""
+    place = docs.columns.index(text_col)
+    for shared in _indexes(items, max_edits, min_words, 3, 0.999, 7):
+
+        def run(batches: Iterator, shared=shared) -> Iterator:
+            import pyarrow as pa
+
+            index = shared.value
+            for batch in batches:
+                texts = utf8(batch.column(place))
+                clean = np.ones(len(texts), bool)
+                for i, j in slices(texts, 4 * SLICE_BYTES):
+                    clean[[i + x[0] for x in index.search(texts[i:j])]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op2_cgk_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

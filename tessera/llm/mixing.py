@@ -67,7 +67,8 @@ def _fill(pool: DataFrame, bucket_bits: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, bucket_bits: int = 12, fills: int = 3) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken (words, repetitions counted).
+    """One row per input row: doc_id, source, size, source_size, target, taken (words, repetitions
+    counted), repetitions.
 
     Null source is a source of its own; null or wordless texts have size 0 and take 0. Ties of the
     seeded hash are broken by doc_id; repeated rows of one doc_id and size are taken alike, so that
@@ -117,7 +118,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = d.join(chosen, ["_key", "_h", "size"], "left")
     p = plan.select("_key", "source_size", "target", "whole")
     reps = F.least(F.col("whole") + F.coalesce("_extra", F.lit(0)), F.lit(max_epochs))
-    return taken.join(p, "_key").select("doc_id", "size", "source_size", "target", (F.col("size") * reps).alias("taken"), reps.alias("repetitions"))
+    return taken.join(p, "_key").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * reps).alias("taken"), reps.alias("repetitions"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: the rows of docs, all their columns, each as often as mix() takes it."""
+    reps = mix(docs, id_col, text_col, source_col, **options).where("repetitions > 0").select(F.col("doc_id").alias("_i"), F.col("size").alias("_z"), F.col("source").alias("_s"), "repetitions").distinct()
+    d = docs.withColumn("_size", n_words(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_z")) & F.col(source_col).eqNullSafe(F.col("_s"))
+    return d.join(reps, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), "repetitions"))).select(*docs.columns)
 
 
 def op9_water_filling(spark, sf_dir: str) -> DataFrame:
