@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Rolling, mix, shared_dir, slices, table, utf8
 
 KEY, END_ID = 16, 2
-#: Words whose ids a worker keeps, and chunk keys that a task remembers, at most.
-CACHED_WORDS, CACHED_KEYS = 400_000, 200_000
+#: Half the words whose ids a worker keeps, and chunk keys that a task remembers, at most.
+CACHED_WORDS, CACHED_KEYS = 500_000, 200_000
 WINDOW, MASK, LEAST, MOST = 8, 255, 32, 2048
 
 
@@ -85,17 +85,30 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words: many words as one text, whose tokens' offsets tell the word."""
+        for i in range(0, len(words), 4000):
+            part = [w.decode() for w in words[i : i + 4000]]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
+            begin = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            at = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
+            cuts = np.concatenate([[0], np.searchsorted(at, begin)]) * self.width
+            data = ids.tobytes()
+            cuts = cuts.tolist()
+            self.known.update(zip(words[i : i + 4000], [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Each text's ids and the end id, as bytes of self.dtype."""
         words = [t.split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list(set().union(*words).difference(self.known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in got), strict=True))
+        if len(self.known) > CACHED_WORDS:  # words that come again are taken over from the older half
+            self.known, self.older = {}, self.known
+        new = set().union(*words).difference(self.known)
+        back = [w for w in new if w in self.older]
+        self.known.update(zip(back, map(self.older.__getitem__, back), strict=True))
+        self._learn(list(new.difference(back)))
         end = np.array([end_id], self.dtype).tobytes()
         look = self.known.__getitem__
         return [b"".join(map(look, w)) + end for w in words]
