@@ -74,7 +74,7 @@ FROM c JOIN d USING (doc_id) JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.ix
 FROM events GROUP BY CAST(ts AS DATE) ORDER BY CAST(ts AS DATE) DESC LIMIT 2""",
     "skip_reasons": f"""WITH {DOCS} SELECT CASE WHEN length(t) = 0 THEN 'empty' WHEN length(t) < 80 THEN 'short' WHEN ({ALPHA}) < 0.45 THEN 'not_text' WHEN ({SYMBOLS}) > 0.55 THEN 'symbols' ELSE 'kept' END AS reason, count(*) AS n FROM d GROUP BY 1""",
     "l2_normalize": f"""WITH {V}, n AS (SELECT vec_id, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n, e FROM v)
-SELECT vec_id, round(n, 5) AS norm, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END AS unit, round(CASE WHEN n = 0 THEN 0.0 ELSE e[1] / n END, 5) AS first FROM n""",
+SELECT vec_id, round(n, 5) AS norm, CAST(CASE WHEN n = 0 THEN 0 ELSE 1 END AS DOUBLE) AS unit, round(CASE WHEN n = 0 THEN 0.0 ELSE e[1] / n END, 5) AS first FROM n""",
     "cosine_topk": f"WITH {SCORED} SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 5",
     "dot_topk": f"WITH {V} SELECT v.vec_id, round(list_inner_product(v.e, q.e), 6) AS score FROM v, (SELECT e FROM v WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 5",
     "knn_all_pairs": f"WITH {KNN} SELECT query_id, vec_id, round(raw, 6) AS score, rank FROM k",
