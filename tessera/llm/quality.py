@@ -72,9 +72,10 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _tree(gradient: np.ndarray, weight: np.ndarray, leaves: int = 3, least: float = 5.0) -> np.ndarray:
+def _tree(gradient: np.ndarray, weight: np.ndarray, leaves: int = 3) -> np.ndarray:
     """The values of a shallow regression tree over ordered bins: best splits one after the other."""
     cuts, n = [0, len(gradient)], len(gradient)
+    least = min(5.0, 0.05 * weight.sum())  # of the weight, in a leaf
     g, w = np.concatenate([[0], np.cumsum(gradient)]), np.concatenate([[0], np.cumsum(weight)])
 
     def gain(a: int, b: int) -> tuple[float, int]:
