@@ -8,9 +8,9 @@ from .decontam import op2_cgk_decontamination
 from .mixing import op9_water_filling
 from .quality import op6_additive_quality
 from .simhash import op5_pigeonring_simhash
-from .substring import op4_count_min_substring
+from .substring import OP4_SQL, op4_count_min_substring
 from .tokenstore import op3_content_store
-from .warc import op10_seekable_warc
+from .warc import OP10_SQL, op10_seekable_warc
 from .wordpiece import op8_wordpiece_counts
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_water_filling": op9_water_filling,
     "op10_seekable_warc": op10_seekable_warc,
 }
-SQL = {"op7_snapshot_collapse": OP7_SQL}
+SQL = {"op4_count_min_substring": OP4_SQL, "op7_snapshot_collapse": OP7_SQL, "op10_seekable_warc": OP10_SQL}

@@ -231,3 +231,15 @@ def read_archive(archive: Archive) -> DataFrame:
 def op10_seekable_warc(spark, sf_dir: str) -> DataFrame:
     out = read_archive(write_archive(table(spark, sf_dir, "pages")))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT html, max(page_id) AS top FROM p GROUP BY html),
+d AS (SELECT DISTINCT hex, list_transform(range(8), lambda i: CAST('0x' || substring(hex, 5 * i + 1, 5) AS BIGINT)) AS parts FROM p),
+b AS (SELECT hex, array_to_string(list_transform(range(32), lambda i:
+  substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS base32 FROM d)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, b.base32 AS payload_digest,
+  CASE WHEN p.page_id = g.top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> g.top THEN g.top END AS refers_to
+FROM p JOIN g USING (html) JOIN b USING (hex)
+"""
