@@ -16,6 +16,7 @@ Ids are encoded once, chunks shuffled once (by key). Documents with equal recipe
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
@@ -26,11 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, shared_dir, slices, table, utf8
+from .common import SLICE_BYTES, Rolling, Words, mix, shared_dir, slices, table, utf8
 
 KEY, END_ID = 16, 2
 #: Half the words whose ids a worker keeps, and chunk keys that a task remembers, at most.
-CACHED_WORDS, CACHED_KEYS = 500_000, 200_000
+CACHED_WORDS, CACHED_KEYS = 250_000, 200_000
+#: Words with their case and punctuation that a worker keeps, as arrays.
+TABLE_WORDS = 1_000_000
 WINDOW, MASK, LEAST, MOST = 8, 255, 32, 2048
 
 
@@ -74,44 +77,135 @@ class Encoder:
     """Ids of texts by the tokenizers library.
 
     Neither normalisation nor pre-tokenisation of the vocabulary file looks across white space, so a
-    text's ids are those of its words in a row; the ids of frequent words are kept.
+    text's ids are those of its words in a row. Each different word of a batch is looked up once. Where
+    the file also lower-cases and parts letters from other characters (LETTERS), what is kept is words
+    without case and without the punctuation after them.
     """
 
+    #: Fixed value: the pre-tokeniser's pattern that this holds for.
+    LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: ASCII punctuation but the apostrophe.
+    TAIL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words: many words as one text, whose tokens' offsets tell the word."""
-        for i in range(0, len(words), 4000):
-            part = [w.decode() for w in words[i : i + 4000]]
+        self.table = Table.empty(self.dtype)
+        told = json.loads(self.tokenizer.to_str())
+        kinds = {x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])}
+        parts = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.parted = "Lowercase" in kinds <= {"NFC", "Replace", "Lowercase"} and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": self.LETTERS}
+
+    def _other(self, word: bytes, core: bytes) -> bytes:
+        """Of a word that isn't ASCII letters and punctuation: its letters, where they are of another Latin alphabet, else all of it."""
+        if not self.parted or not core:
+            return word
+        seen = core.decode()  # within Latin, all agree on what a letter is
+        return core.lower() if seen.isalpha() and max(seen) < "\u0250" else word
+
+    def _learn(self, keys: list[bytes]) -> None:
+        """Ids of new keys: plain letters go to the model, of others many together, told apart by their tokens' offsets."""
+        plain = [k for k in keys if self.parted and k.isalpha()]
+        for k in plain:
+            ids = [t.id for t in self.model.tokenize(k.decode())]
+            self.known[k] = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+        rest = list(set(keys).difference(plain))
+        for i in range(0, len(rest), 4000):
+            part = [w.decode() for w in rest[i : i + 4000]]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, self.dtype)
             begin = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            at = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-            cuts = np.concatenate([[0], np.searchsorted(at, begin)]) * self.width
-            data = ids.tobytes()
-            cuts = cuts.tolist()
-            self.known.update(zip(words[i : i + 4000], [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
+            at = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            cuts = (np.concatenate([[0], np.searchsorted(at, begin)]) * self.width).tolist()
+            data = np.array(got.ids, self.dtype).tobytes()
+            self.known.update(zip(rest[i : i + 4000], [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
 
-    def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        """Each text's ids and the end id, as bytes of self.dtype."""
-        words = [t.split() for t in texts]
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes of self.dtype."""
         if len(self.known) > CACHED_WORDS:  # words that come again are taken over from the older half
             self.known, self.older = {}, self.known
-        new = set().union(*words).difference(self.known)
-        back = [w for w in new if w in self.older]
-        self.known.update(zip(back, map(self.older.__getitem__, back), strict=True))
+        known, parts, new = self.known, [], set()
+        for w in words:  # letters, ASCII ones in lower case, and the punctuation after them
+            core = w.rstrip(self.TAIL)
+            key = core.lower() if self.parted and core.isalpha() else self._other(w, core)
+            tail = w[len(key) :]
+            parts.append((key, tail))
+            if key not in known:
+                new.add(key)
+            if tail and tail not in known:
+                new.add(tail)
+        back = [k for k in new if k in self.older]
+        known.update(zip(back, map(self.older.__getitem__, back), strict=True))
         self._learn(list(new.difference(back)))
-        end = np.array([end_id], self.dtype).tobytes()
-        look = self.known.__getitem__
-        return [b"".join(map(look, w)) + end for w in words]
+        return [known[a] + known[b] if b else known[a] for a, b in parts]
+
+    def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
+        """Each text's ids and the end id, as bytes of self.dtype."""
+        w = Words(texts)
+        order = np.argsort(w.hash)
+        new = np.concatenate([[True], np.diff(w.hash[order]) > 0])[: len(order)]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        size = w.ends - w.starts
+        head = np.ndarray((len(w.joined) - 7,), np.dtype("<u8"), w.joined, strides=(1,))[w.starts]
+        head = np.where(size < 8, 0, head)
+        if (size[first][which] != size).any() or (head[first][which] != head).any():  # a hash that two words share
+            first, which = order, np.empty(len(order), np.int64)
+            which[order] = np.arange(len(order))
+        # Words of earlier batches are found by hash, size and first bytes; the others are looked up and added.
+        t, h, size, head = self.table, w.hash[first], size[first], head[first]
+        at = np.minimum(np.searchsorted(t.hash, h), len(t.hash) - 1)
+        hit = (t.hash[at] == h) & (t.size[at] == size) & (t.head[at] == head)
+        miss = np.flatnonzero(~hit)
+        got = self.words([w.joined[x:y] for x, y in zip(w.starts[first[miss]].tolist(), w.ends[first[miss]].tolist(), strict=True)])
+        n_new = np.fromiter(map(len, got), np.int64, len(got)) // self.width
+        flat = np.concatenate([t.flat, np.frombuffer(b"".join(got), self.dtype)])
+        begin, n = t.begin[at], t.n[at]
+        begin[miss], n[miss] = len(t.flat) + np.cumsum(n_new) - n_new, n_new
+        self._remember(Table(h, size, head, begin, n, flat), miss)
+        n_of = n[which]
+        upto = np.concatenate([[0], np.cumsum(n_of)])
+        ids = flat[np.repeat(begin[which] - upto[:-1], n_of) + np.arange(upto[-1])].tobytes()
+        cuts, end = (upto[w.bounds] * self.width).tolist(), np.array([end_id], self.dtype).tobytes()
+        return [ids[a:b] + end for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _remember(self, batch: Table, new: np.ndarray) -> None:
+        """Add a batch's new words to the table; one that is full starts again with them."""
+        t = self.table
+        if len(t.hash) + len(new) > TABLE_WORDS:
+            t = Table.empty(self.dtype)
+            n = batch.n[new]
+            flat = batch.flat[np.repeat(batch.begin[new] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            batch = Table(batch.hash, batch.size, batch.head, batch.begin.copy(), batch.n, np.concatenate([t.flat, flat]))
+            batch.begin[new] = np.cumsum(n) - n + len(t.flat)
+        own = [np.concatenate([x, y[new]]) for x, y in zip((t.hash, t.size, t.head, t.begin, t.n), (batch.hash, batch.size, batch.head, batch.begin, batch.n), strict=True)]
+        order = np.argsort(own[0], kind="stable")
+        self.table = Table(*(x[order] for x in own), batch.flat)
+
+
+@dataclass
+class Table:
+    """Words by hash, with size and first 8 bytes (0 for shorter ones), and where in flat their ids are."""
+
+    hash: np.ndarray
+    size: np.ndarray
+    head: np.ndarray
+    begin: np.ndarray
+    n: np.ndarray
+    flat: np.ndarray
+
+    @classmethod
+    def empty(cls, dtype: np.dtype) -> Table:
+        """One entry that no word has (size 0), so that a look-up always finds some."""
+        one = np.zeros(1, np.int64)
+        return cls(np.full(1, 2**64 - 1, np.uint64), one, np.zeros(1, np.uint64), one, one, np.zeros(0, dtype))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -123,22 +217,26 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream: where the rolling hash says so, LEAST to MOST ids apart."""
-    n, ends, last = len(ids), [], 0
-    if n > LEAST:
-        marks = np.flatnonzero(Rolling(mix(ids.astype(np.uint64) + np.uint64(1)), 0x9E3779B97F4A7C15).runs(WINDOW) & np.uint64(MASK) == 0) + WINDOW
-        for m in marks.tolist():
+def cut(ids: np.ndarray, bounds: list[int]) -> list[list[int]]:
+    """Ends of the chunks of each stream ids[bounds[i]:bounds[i + 1]]: where the rolling hash says so, LEAST to MOST ids apart."""
+    marks = np.flatnonzero(Rolling(mix(ids.astype(np.uint64) + np.uint64(1)), 0x9E3779B97F4A7C15).runs(WINDOW) & np.uint64(MASK) == 0) + WINDOW
+    at = np.searchsorted(marks, np.array(bounds) + LEAST).tolist()  # a window within the stream, as LEAST is longer
+    to = np.searchsorted(marks, bounds).tolist()
+    out = []
+    for i, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        ends, last = [], a
+        for m in marks[at[i] : to[i + 1]].tolist():
             while m - last > MOST:
                 last += MOST
-                ends.append(last)
+                ends.append(last - a)
             if m - last >= LEAST:
                 last = m
-                ends.append(last)
-        while n - last > MOST:
+                ends.append(last - a)
+        while z - last > MOST:
             last += MOST
-            ends.append(last)
-    return ends + [n] if last < n else ends
+            ends.append(last - a)
+        out.append(ends + [z - a] if last < z else ends)
+    return out
 
 
 @dataclass
@@ -148,7 +246,7 @@ class Store:
     width: int
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.schema("key binary, payload binary").parquet(f"{self.root}/objects/kind=chunk")
+        return self.spark.read.schema(OBJECTS).parquet(f"{self.root}/objects").where("kind = 'chunk'").select("key", "payload")
 
     def recipes(self) -> DataFrame:
         return self.spark.read.schema(RECIPES).parquet(f"{self.root}/recipes").where("seq >= 0")
@@ -182,11 +280,13 @@ def write_store(docs: DataFrame, tokenizer: str, root: str | None = None, end_id
         schema = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            for i, j in slices(texts):
+            for i, j in slices(texts, 2 * SLICE_BYTES):
                 rows: list[tuple] = []
-                for doc_id, data in zip(ids[i:j], e.encode(texts[i:j], end_id), strict=True):
+                coded = e.encode(texts[i:j], end_id)
+                bounds = np.cumsum([0, *map(len, coded)]) // e.width
+                for doc_id, data, ends in zip(ids[i:j], coded, cut(np.frombuffer(b"".join(coded), e.dtype), bounds.tolist()), strict=True):
                     keys, last = [], 0
-                    for x in cut(np.frombuffer(data, e.dtype)):
+                    for x in ends:
                         payload, last = data[last * e.width : x * e.width], x
                         keys.append(key := digest(payload))
                         if key not in seen:
