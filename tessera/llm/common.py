@@ -68,7 +68,7 @@ class Words:
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate([np.zeros(1, edge.dtype), edge])
-        self.starts, self.ends = edge[0::2], edge[1::2]
+        self.joined, self.starts, self.ends = joined, edge[0::2], edge[1::2]
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.bounds = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(sizes)]))
         self.bounds[-1] = len(self.starts)
