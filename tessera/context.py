@@ -48,6 +48,23 @@ def prompt(question: Column, context: Column, config: Config | None = None) -> C
 HITS_JSON = "question string, topK int, hits array<struct<score:double,doc_id:string,chunk_id:int,source:string,text:string,preview:string>>, context string"
 
 
+#: A JSON string's body, for lines that don't parse as a whole.
+STRING = r'"((?:\\.|[^"\\])*)"'
+
+
+def _field(value: Column, name: str) -> Column:
+    """A string field found by pattern, unescaped; null where there is none."""
+    body = F.regexp_extract(value, rf'"{name}"\s*:\s*{STRING}', 1)
+    return F.when(F.length(body) > 0, F.from_json(F.concat(F.lit('{"c":"'), body, F.lit('"}')), "c string")["c"])
+
+
+def _texts(value: Column) -> Column:
+    """Texts of the hits of a line that doesn't parse, with a score of 0, in their order."""
+    found = F.regexp_extract_all(value, F.lit(rf'"text"\s*:\s*{STRING}'), F.lit(1))
+    hit = lambda t: F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("int").alias("chunk_id"), F.lit(None).cast("string").alias("source"), F.from_json(F.concat(F.lit('{"c":"'), t, F.lit('"}')), "c string")["c"].alias("text"), F.lit(None).cast("string").alias("preview"))
+    return F.when(value.contains('"hits"') & (F.size(found) > 0), F.transform(found, hit))
+
+
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Lines of hits or context as JSON; `bad` marks those that don't parse or hold neither."""
     p = lines.select("*", F.from_json(F.trim(F.col(value)), HITS_JSON).alias("j"))
@@ -59,14 +76,15 @@ def context_from_hits(lines: DataFrame, group: str, value: str = "value", most:
     prefix, blocks under 40 characters and reference lists); else of all its lines. Clipped with an ellipsis."""
     p = parse_lines(lines, value)
     tidy = lambda t: F.trim(F.replace(F.regexp_replace(t, r"\s+", " "), F.lit(" ? "), F.lit("? ")))
-    direct = p.where(F.col(value).contains('"context"')).groupBy(group).agg(F.min(F.coalesce("j.context", F.trim(F.col(value)))).alias("c")).select(group, T.clip(tidy(F.col("c")), most, "…").alias("context"))
+    direct = p.where(F.col(value).contains('"context"')).groupBy(group).agg(F.min(F.coalesce("j.context", _field(F.col(value), "context"), F.trim(F.col(value)))).alias("c")).select(group, T.clip(tidy(F.col("c")), most, "…").alias("context"))
     left = p.join(direct, group, "left_anti")
-    hits = left.where("j.hits IS NOT NULL").select(group, F.posexplode("j.hits").alias("pos", "h")).select(group, "pos", "h.*").withColumn("text", F.coalesce("text", "preview")).where("length(text) > 0")
+    left = left.withColumn("_hits", F.coalesce("j.hits", _texts(F.col(value))))
+    hits = left.where("_hits IS NOT NULL").select(group, F.posexplode("_hits").alias("pos", "h")).select(group, "pos", "h.*").withColumn("text", F.coalesce("text", "preview")).where("length(text) > 0")
     block = tidy(hit_block(F.col("source"), F.lit(""), F.coalesce("chunk_id", F.lit(-1)), F.coalesce("score", F.lit(0.0)), F.col("text")))
     hits = hits.select(group, F.coalesce(-F.col("score"), F.lit(0.0)).alias("neg"), "pos", block.alias("block"))
     hits = first_by_prefix(hits, "block", ["neg", "pos"], [group]).where((F.length("block") >= 40) & ~T.is_references(F.col("block")))
     of_hits = joined(hits, [group], ["neg", "pos"], "block", "\n\n")
-    seen = left.where("j.hits IS NOT NULL").select(group).distinct().join(of_hits, group, "left").select(group, T.clip(F.coalesce("context", F.lit("")), most, "…").alias("context"))
+    seen = left.where("_hits IS NOT NULL").select(group).distinct().join(of_hits, group, "left").select(group, T.clip(F.coalesce("context", F.lit("")), most, "…").alias("context"))
     plain = left.join(seen.select(group), group, "left_anti").where(F.length(F.trim(F.col(value))) > 0).withColumn("_line", F.trim(F.col(value)))
     rest = joined(plain, [group], ["_line"], "_line", "\n").select(group, T.clip(tidy(F.col("context")), most, "…").alias("context"))
     return direct.unionByName(seen).unionByName(rest)

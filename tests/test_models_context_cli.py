@@ -84,10 +84,11 @@ def test_cached_embed(spark):
 def test_context_of_hits(spark):
     long = "plain words that are long enough to be kept in the context"
     hits = {"hits": [{"score": 0.5, "source": "s", "chunk_id": 1, "text": long}, {"score": 0.9, "source": "s", "chunk_id": 2, "text": "References " + long}, {"score": 0.7, "source": "t", "chunk_id": 3, "text": "other " + long}, {"score": 0.6, "source": "t", "chunk_id": 4, "text": ""}]}
-    lines = spark.createDataFrame([("a", json.dumps(hits)), ("b", '{"context": "x   y ? z"}'), ("b", json.dumps(hits)), ("c", "not json"), ("d", '{"context": "' + "w" * 3000 + '"}'), ("e", '{"context" broken')], "run string, value string")
+    lines = spark.createDataFrame([("a", json.dumps(hits)), ("b", '{"context": "x   y ? z"}'), ("b", json.dumps(hits)), ("c", "not json"), ("d", '{"context": "' + "w" * 3000 + '"}'), ("e", '{"context" broken'), ("f", '{"context": "a\\"b\\u00e9", oops'), ("g", '{"hits": [{"text": "' + long + '"}, oops')], "run string, value string")
     got = {r.run: r.context for r in C.context_from_hits(lines, "run").collect()}
     assert got["a"].split("\n\n")[0].startswith("[s #2 | score=0.9000] References") or got["a"].startswith("[t #3 | score=0.7000]")
     assert got["b"] == "x y? z" and got["c"] == "not json" and len(got["d"]) == 2049 and got["d"].endswith("…") and got["e"] == '{"context" broken'
+    assert got["f"] == 'a"bé' and got["g"].endswith(long)
 
 
 def test_prompt(spark):
@@ -119,3 +120,22 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["question", "rivers", "--out", out]) == 0
     assert "rivers and lakes" in capsys.readouterr().out
     assert cli.main(["query", " ", "--out", out]) == 3
+
+
+def test_sinks(spark, tmp_path):
+    from tessera.sources import sinks
+    from tessera.sources.store import Store, single_csv
+
+    pairs = spark.createDataFrame([("king", "queen"), ("king", "none")], "a string, b string")
+    vectors = spark.createDataFrame([("king", [3.0, 4.0]), ("queen", [4.0, 3.0])], "word string, embedding array<double>")
+    got = {r.b: r for r in sinks.similarities(pairs, vectors).collect()}
+    assert got["queen"].dot == 24 and got["queen"].cosine == pytest.approx(0.96) and got["none"].cosine == 0
+    store = Store(spark, f"file://{tmp_path}/s")
+    single_csv(pairs.orderBy("b"), store, "similarity.csv")
+    assert (tmp_path / "s" / "similarity.csv").read_text().split("\n")[:2] == ["a,b", "king,none"]
+    words = spark.createDataFrame([('qu"ote', 0, 5), ("b", 1, 2)], "term string, token_id long, total_tf long")
+    sinks.write_vocabulary(words, f"{tmp_path}/v")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/v").collect()] == ['"qu""ote","0","5"', '"b","1","2"']
+    sinks.append_json(words, f"{tmp_path}/j")
+    sinks.append_json(words, f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").count() == 4
