@@ -124,9 +124,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of docs, all their columns, each as often as mix() takes it."""
     reps = mix(docs, id_col, text_col, source_col, **options).where("repetitions > 0").select(F.col("doc_id").alias("_i"), F.col("size").alias("_z"), F.col("source").alias("_s"), "repetitions").distinct()
-    d = docs.withColumn("_size", n_words(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_z")) & F.col(source_col).eqNullSafe(F.col("_s"))
-    return d.join(reps, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), "repetitions"))).select(*docs.columns)
+    d = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), n_words(F.col(text_col)).alias("_size"), F.col(source_col).alias("_source"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_z")) & F.col("_source").eqNullSafe(F.col("_s"))
+    return d.join(reps, same).select("_row", F.explode(F.sequence(F.lit(1), "repetitions"))).select("_row.*")
 
 
 def op9_water_filling(spark, sf_dir: str) -> DataFrame:

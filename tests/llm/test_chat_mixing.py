@@ -58,7 +58,7 @@ def test_mix(spark, seed):
     for s, n in zip(["a", "b", "é", "Z", None, "zero", ""], [400, 20, 60, 3, 100, 5, 50], strict=True):
         data += [(len(data) + i, "w " * (0 if s == "zero" else rng.randrange(1, 80)), s) for i in range(n)]
     data += [(9000, None, "a"), (9001, "\t\n", "a"), (9002, "x y", "b"), (9002, "x y", "b"), (None, "q", "b")]
-    docs = spark.createDataFrame([(i, t, s, 0, "u") for i, t, s in data], "doc_id long, text string, source string, size int, target string")
+    docs = spark.createDataFrame([(i, t, s, 0, "u", None) for i, t, s in data], "doc_id long, text string, source string, size int, target string, repetitions int")
     got = mixing.mix(docs).collect()
     sizes = {}
     for _, t, s in data:

@@ -105,8 +105,8 @@ def test_groups_of_similar_texts(spark):
         half = base[: len(base) // 2] + [f"y{rng.randrange(5000)}" for _ in range(len(base) // 2)]
         data.append((10 * f + 9, " ".join(half), f))
     data += [(5000, None, 0), (5001, "", 0), (10, data[4][1], 1)]
-    kept = G.keep_one(spark.createDataFrame(data, "doc_id long, text string, fp int"))
-    assert kept.columns == ["doc_id", "text", "fp"]
+    kept = G.keep_one(spark.createDataFrame(data, "doc_id long, text string, _rid int"))
+    assert kept.columns == ["doc_id", "text", "_rid"]
     ids = sorted(r.doc_id for r in kept.collect())
     near = [t for t in data if t[0] < 5000 and t[0] % 10 in (1, 2) and jaccard(t[1], " ".join(originals[t[0] // 10])) >= 0.8]
     assert len(near) > 100 and sum(t[0] in ids for t in near) <= 0.03 * len(near)
