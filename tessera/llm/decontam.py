@@ -194,7 +194,7 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
             index = shared.value
             for batch in batches:
                 texts, out = utf8(batch.column(1)), []
-                for i, j in slices(texts, 4 * SLICE_BYTES):
+                for i, j in slices(texts, 8 * SLICE_BYTES):
                     out += [(i + t, *more) for t, *more in index.search(texts[i:j])]
                 ids = batch.column(0).take(pa.array([x[0] for x in out], pa.int64()))
                 rest = [pa.array([x[k] for x in out], pa.int32() if k == 4 else pa.int64()) for k in range(1, 5)]
@@ -217,7 +217,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_
             for batch in batches:
                 texts = utf8(batch.column(place))
                 clean = np.ones(len(texts), bool)
-                for i, j in slices(texts, 4 * SLICE_BYTES):
+                for i, j in slices(texts, 8 * SLICE_BYTES):
                     clean[[i + x[0] for x in index.search(texts[i:j])]] = False
                 yield batch.filter(pa.array(clean))
 

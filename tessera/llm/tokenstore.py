@@ -31,9 +31,9 @@ from .common import SLICE_BYTES, Rolling, Words, mix, shared_dir, slices, table,
 
 KEY, END_ID = 16, 2
 #: Half the words whose ids a worker keeps, and chunk keys that a task remembers, at most.
-CACHED_WORDS, CACHED_KEYS = 250_000, 200_000
+CACHED_WORDS, CACHED_KEYS = 200_000, 200_000
 #: Words with their case and punctuation that a worker keeps, as arrays.
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 1_500_000
 WINDOW, MASK, LEAST, MOST = 8, 255, 32, 2048
 
 
