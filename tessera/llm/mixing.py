@@ -8,10 +8,10 @@ row per source finds it.
 
 Taking: a source's target is `whole` repetitions of each document and a rest of words. Documents
 with the smallest seeded hashes fill the rest. To find where it ends without sorting a source in
-one task, words are added up per hash bucket first; only the bucket in which the rest ends is
-ordered. The document across the end is left out and what is missing filled the same way by
-the documents that still fit, then by the largest that fits, at last by the smallest if that comes
-nearer.
+one task, words are added up per hash bucket first, 256 at a time; only the bucket in which the rest
+ends is looked into, and at last ordered. The document across the end is left out and what is missing
+filled the same way by the documents that still fit, then by the largest that fits, at last by the
+smallest if that comes nearer.
 """
 
 from __future__ import annotations
@@ -51,22 +51,29 @@ def water_levels(sizes: DataFrame, max_epochs: int = 3, weights: tuple[int, ...]
     return s.withColumn("target", filled).select("source", "source_size", "weight", "target")
 
 
-def _fill(pool: DataFrame, bucket_bits: int) -> DataFrame:
-    """Of each source the units with the smallest hashes whose words together stay within _left."""
-    pool = pool.withColumn("_bucket", F.shiftrightunsigned("_h", 64 - bucket_bits))
-    per = pool.groupBy("_key", "_bucket").agg(F.sum("_unit").alias("_words"), F.first("_left").alias("_left"))
-    run = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn("_upto", F.sum("_words").over(run)).withColumn("_room", F.col("_left") - F.col("_upto") + F.col("_words"))
-    # A bucket is in if it ends within what is left; only the one across the end is ordered by hash.
-    per = per.where("_room > 0").select("_key", "_bucket", (F.col("_upto") <= F.col("_left")).alias("_whole"), "_room")
-    cols = ["_key", "_h", "size", "_unit"]
-    u = pool.select("_bucket", *cols).join(per, ["_key", "_bucket"])
-    within = Window.partitionBy("_key", "_bucket").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = u.where("NOT _whole").withColumn("_sum", F.sum("_unit").over(within)).where("_sum <= _room")
-    return u.where("_whole").select(*cols).unionByName(edge.select(*cols))
+def _fill(pool: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """Of each source the units with the smallest hashes whose words together stay within _left.
 
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, bucket_bits: int = 12, fills: int = 3) -> DataFrame:
+    Level by level, hashes are cut into 2**bits buckets: those that end within _left are in, and only the
+    one across the end is looked into; what remains at last is ordered by hash itself.
+    """
+    cols, used, parts = ["_key", "_h", "size", "_unit"], 0, []
+    for bits in levels:
+        used += bits
+        pool = pool.select(*cols, "_left", F.shiftrightunsigned("_h", 64 - used).alias("_bucket"))
+        per = pool.groupBy("_key", "_bucket").agg(F.sum("_unit").alias("_words"), F.first("_left").alias("_left"))
+        run = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        per = per.withColumn("_upto", F.sum("_words").over(run)).withColumn("_room", F.col("_left") - F.col("_upto") + F.col("_words"))
+        per = per.where("_room > 0").select("_key", "_bucket", (F.col("_upto") <= F.col("_left")).alias("_whole"), "_room")
+        u = pool.drop("_left").join(per, ["_key", "_bucket"])
+        parts.append(u.where("_whole").select(*cols))
+        pool = u.where("NOT _whole").select(*cols, F.col("_room").alias("_left"))
+    within = Window.partitionBy("_key").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts.append(pool.withColumn("_sum", F.sum("_unit").over(within)).where("_sum <= _left").select(*cols))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, levels: tuple[int, ...] = (8, 8), fills: int = 3) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken (words, repetitions
     counted), repetitions.
 
@@ -104,7 +111,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             pool = pool.join(parts[-1].select(*unit), unit, "left_anti")
         open_ = pool.join(left, "_key")
         if turn < fills:
-            part = _fill(open_.where("_unit <= _left"), bucket_bits)
+            part = _fill(open_.where("_unit <= _left"), levels)
         else:  # the largest that fits, and at last the smallest if that comes nearer
             last = turn == fills + 2
             order = F.struct((-F.col("_unit") if last else F.col("_unit")).alias("rank"), "_h", "size", "_unit")
