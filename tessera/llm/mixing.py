@@ -73,7 +73,7 @@ def _fill(pool: DataFrame, levels: tuple[int, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, levels: tuple[int, ...] = (8, 8), fills: int = 3) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, levels: tuple[int, ...] = (8, 8), fills: int = 2) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken (words, repetitions
     counted), repetitions.
 
