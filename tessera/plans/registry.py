@@ -411,14 +411,15 @@ def shared_root(spark: SparkSession, name: str) -> str:
 @query
 def build_incremental(spark, d):
     """Build an index of all documents, run again, then retrieve and put together the context of a question."""
+    from tessera.config import Config
     from tessera.models import HashingEmbedder
     from tessera.plans.build import build
     from tessera.plans.query import context_of, load_index, search
 
-    root, e = shared_root(spark, "index"), HashingEmbedder()
+    root, e, c = shared_root(spark, "index"), HashingEmbedder(), Config(shards=8)
     sources = _docs(spark, d).select("uri", F.octet_length("text").cast("long").alias("length"), F.lit(0).cast("long").alias("mtime"), F.encode("text", "UTF-8").alias("content"))
-    first = build(spark, sources, root, e)
-    again = build(spark, sources, root, e)
+    first = build(spark, sources, root, e, c)
+    again = build(spark, sources, root, e, c)
     hits = search(load_index(spark, root=root), e.embed(["the and of that"])[0], 5, e)
     done = {k: F.lit(first[k]).alias(k) for k in ("numChangedDocs", "numChunksWritten", "numEmbeddingsWritten", "indexRows")}
     return context_of(hits).select("context", *done.values(), F.lit(again["numChangedDocs"] + again["numChunksWritten"] + again["numEmbeddingsWritten"]).alias("rerunWork"))
