@@ -401,22 +401,44 @@ def _combine(batches: Iterator) -> Iterator:
 def _chunk_rows(recipes: DataFrame) -> DataFrame:
     """Each different recipe's chunks: root, pos, key."""
     key = F.transform(F.sequence(F.lit(0), (F.length("recipe") / KEY).cast("int") - 1), lambda i: F.substring("recipe", i * KEY + 1, F.lit(KEY)))
-    return recipes.groupBy("root").agg(F.first("recipe").alias("recipe")).select("root", F.posexplode(key).alias("pos", "key"))
+    return recipes.select("root", "recipe").distinct().select("root", F.posexplode(key).alias("pos", "key"))
+
+
+def _check_part(key, rows):
+    """The part, whose documents must stand in order without a gap and give its manifest's numbers and root."""
+    import pyarrow as pa
+
+    rows = rows.sort_by("seq")
+    seq, start, tokens = (rows[c].to_numpy() for c in ("seq", "local_start", "n_tokens"))
+    well = len(seq) > 0 and (seq == np.arange(-1, len(seq) - 1)).all()
+    if well:
+        tree, roots = Merkle(), rows["root"].to_pylist()
+        for r in roots[1:]:
+            tree.add(r)
+        ends = np.cumsum(tokens[1:])
+        well = roots[0] == tree.root() and start[0] == len(seq) - 1 and tokens[0] == tokens[1:].sum() and (start[1:] == ends - tokens[1:]).all()
+    if not well:
+        raise ValueError(f"part {key[0].as_py()} doesn't follow from its recipes")
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32())})
 
 
 def read_back(store: Store) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files.
 
-    Every chunk's key and every recipe's root is checked. A document's CRC is put together from those
-    of its chunks, so that no ids are shuffled.
+    Every chunk's key, every recipe's root, every document's tokens and every part's manifest are checked.
+    A document's CRC is put together from those of its chunks, so that no ids are shuffled. A part that is
+    gone with its manifest leaves nothing to check it by.
     """
     recipes = store.recipes()
     chunks = store.chunks().mapInArrow(_check_chunks(store.width), "key binary, n int, crc long")
     whole = _chunk_rows(recipes).join(chunks, "key", "left").groupBy("root").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "n", "crc"))).alias("found"))
     crc = whole.mapInArrow(_combine, "root binary, read_tokens long, ids_crc32 long")
     start = (F.col("local_start") + F.col("p.start")).alias("start")
-    out = recipes.select("doc_id", "part", "local_start", "n_tokens", "root").join(crc, "root").alias("r").join(store.manifest().select("part", "start").alias("p"), "part")
-    return out.select("doc_id", start, "n_tokens", "ids_crc32")
+    rows = store.spark.read.schema(RECIPES).parquet(f"{store.root}/recipes").select("part", "seq", "local_start", "n_tokens", "root")
+    parts = store.manifest().select("part", "start").join(rows.groupBy("part").applyInArrow(_check_part, "part int"), "part")
+    out = recipes.select("doc_id", "part", "local_start", "n_tokens", "root").join(crc, "root").alias("r").join(parts.alias("p"), "part")
+    read = F.when(F.col("read_tokens") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document's tokens are not those of its chunks")).cast("long"))
+    return out.select("doc_id", start, read.alias("n_tokens"), "ids_crc32")
 
 
 def read_ids(store: Store) -> DataFrame:

@@ -77,3 +77,32 @@ def test_merkle_depends_on_order_and_count():
     x = [bytes([i]) for i in range(7)]
     roots = {S.merkle(x), S.merkle(x[::-1]), S.merkle(x[:6]), S.merkle([]), S.merkle(x + [b"\0"])}
     assert len(roots) == 5
+
+
+@pytest.mark.parametrize("damage", ["none", "a lost row", "tokens", "tokens of both", "start", "another recipe of that root"])
+def test_damaged_recipes_are_found(spark, tmp_path, damage):
+    docs = [(1, "some words"), (2, "other words here"), (3, "some words"), (4, "last")]
+    store = S.write_store(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), PATH)
+    rows = [r.asDict() for r in spark.read.schema(S.RECIPES).parquet(f"{store.root}/recipes").collect()]
+    part = next(r["part"] for r in rows if r["doc_id"] == 3)
+    r, told = next(r for r in rows if r["doc_id"] == 3), next(r for r in rows if r["seq"] < 0 and r["part"] == part)
+    if damage == "a lost row":
+        rows.remove(r)
+    elif damage.startswith("tokens"):
+        r["n_tokens"] += 1
+        if damage == "tokens of both":
+            told["n_tokens"] += 1
+            for x in rows:
+                x["local_start"] += x["part"] == part and x["seq"] > r["seq"]
+    elif damage == "start":
+        r["local_start"] += 1
+    elif damage == "another recipe of that root":
+        r["recipe"] = next(x for x in rows if x["doc_id"] == 2)["recipe"]
+    spark.createDataFrame([tuple(x[c.split()[0]] for c in S.RECIPES.split(", ")) for x in rows], S.RECIPES).write.parquet(f"file://{tmp_path}/recipes")
+    broken = S.Store(spark, f"file://{tmp_path}", store.width)
+    broken.chunks = store.chunks
+    if damage == "none":
+        assert sorted(S.read_back(broken).collect()) == sorted(S.read_back(store).collect())
+    else:
+        with pytest.raises(Exception, match="doesn't follow|not those of|is damaged"):
+            S.read_back(broken).collect()
