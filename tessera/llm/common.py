@@ -48,6 +48,32 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Give memory that a worker has freed back to the machine: workers live on, and others need it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run):
+    """A function over Arrow batches that gives freed memory back after each batch and at its end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            for b in run(batches):
+                yield b
+                del b
+                give_back()
+        finally:
+            give_back()
+
+    return tidied
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes (SplitMix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
