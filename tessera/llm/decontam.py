@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, mix, slices, table, utf8
+from .common import Words, mix, slices, table, tidy, utf8
 
 MAX_EDITS, MIN_WORDS, BLOCK_ITEMS = 0.2, 8, 20_000
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, distance int"
@@ -194,13 +194,13 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
             index = shared.value
             for batch in batches:
                 texts, out = utf8(batch.column(1)), []
-                for i, j in slices(texts, 8 * SLICE_BYTES):
+                for i, j in slices(texts):
                     out += [(i + t, *more) for t, *more in index.search(texts[i:j])]
                 ids = batch.column(0).take(pa.array([x[0] for x in out], pa.int64()))
                 rest = [pa.array([x[k] for x in out], pa.int32() if k == 4 else pa.int64()) for k in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([ids, *rest], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        found = d.mapInArrow(run, SCHEMA)
+        found = d.mapInArrow(tidy(run), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -217,11 +217,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_
             for batch in batches:
                 texts = utf8(batch.column(place))
                 clean = np.ones(len(texts), bool)
-                for i, j in slices(texts, 8 * SLICE_BYTES):
+                for i, j in slices(texts):
                     clean[[i + x[0] for x in index.search(texts[i:j])]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

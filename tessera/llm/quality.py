@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, table, utf8
+from .common import Words, slices, table, tidy, utf8
 
 FIT_ROWS, BINS, PAIR_BINS = 20_000, 48, 8
 FEATURES = ["log_bytes", "log_words", "word_bytes", "long_words", "short_words", "upper", "lower", "digit", "high", "comma_stop", "inner_punct", "symbol", "pipe", "mark", "newline", "space_run", "distinct_words", "top_word", "distinct_pairs", "distinct_lines", "upper_words", "symbol_words", "line_bytes", "entropy"]
@@ -178,7 +178,7 @@ def _features(texts: DataFrame, keys: str) -> DataFrame:
             x = np.concatenate([features(texts[i:j]) for i, j in slices(texts)]) if texts else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=[keys.split()[0], "x"])
 
-    return texts.mapInArrow(run, f"{keys}, x array<double>")
+    return texts.mapInArrow(tidy(run), f"{keys}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", fold: int | None = 1) -> Model:
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(s) if s else np.zeros(0))], names=["doc_id", "score"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, score double")
+    return d.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -229,7 +229,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str =
             s = [shared.value.score(features(texts[i:j])) for i, j in slices(texts)]
             yield b.filter(pa.array(np.concatenate(s) >= least)) if s else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op6_additive_quality(spark, sf_dir: str) -> DataFrame:

@@ -27,13 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Rolling, Words, mix, shared_dir, slices, table, utf8
+from .common import SLICE_BYTES, Rolling, Words, mix, shared_dir, slices, table, tidy, utf8
 
 KEY, END_ID = 16, 2
 #: Half the words whose ids a worker keeps, and chunk keys that a task remembers, at most.
 CACHED_WORDS, CACHED_KEYS = 200_000, 200_000
 #: Words with their case and punctuation that a worker keeps, as arrays.
-TABLE_WORDS = 1_500_000
+TABLE_WORDS = 1_000_000
 WINDOW, MASK, LEAST, MOST = 8, 255, 32, 2048
 
 
@@ -167,7 +167,7 @@ class Encoder:
         got = self.words([w.joined[x:y] for x, y in zip(w.starts[first[miss]].tolist(), w.ends[first[miss]].tolist(), strict=True)])
         n_new = np.fromiter(map(len, got), np.int64, len(got)) // self.width
         flat = np.concatenate([t.flat, np.frombuffer(b"".join(got), self.dtype)])
-        begin, n = t.begin[at], t.n[at]
+        begin, n = t.begin[at].astype(np.int64), t.n[at].astype(np.int64)
         begin[miss], n[miss] = len(t.flat) + np.cumsum(n_new) - n_new, n_new
         self._remember(Table(h, size, head, begin, n, flat), miss)
         n_of = n[which]
@@ -185,9 +185,8 @@ class Encoder:
             flat = batch.flat[np.repeat(batch.begin[new] - np.cumsum(n) + n, n) + np.arange(n.sum())]
             batch = Table(batch.hash, batch.size, batch.head, batch.begin.copy(), batch.n, np.concatenate([t.flat, flat]))
             batch.begin[new] = np.cumsum(n) - n + len(t.flat)
-        own = [np.concatenate([x, y[new]]) for x, y in zip((t.hash, t.size, t.head, t.begin, t.n), (batch.hash, batch.size, batch.head, batch.begin, batch.n), strict=True)]
-        order = np.argsort(own[0], kind="stable")
-        self.table = Table(*(x[order] for x in own), batch.flat)
+        order = np.argsort(np.concatenate([t.hash, batch.hash[new]]), kind="stable")
+        self.table = Table(*(np.concatenate([x, y[new].astype(x.dtype)])[order] for x, y in zip(t.columns(), batch.columns(), strict=True)), batch.flat)
 
 
 @dataclass
@@ -204,9 +203,12 @@ class Table:
     @classmethod
     def empty(cls, dtype: np.dtype) -> Table:
         """One entry that no word has (size 0), so that a look-up always finds some."""
-        one = np.zeros(1, np.int64)
+        one = np.zeros(1, np.uint32)
         return cls(np.full(1, 2**64 - 1, np.uint64), one, np.zeros(1, np.uint64), one, one, np.zeros(0, dtype))
 
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.hash, self.size, self.head, self.begin, self.n
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -297,9 +299,10 @@ def write_store(docs: DataFrame, tokenizer: str, root: str | None = None, end_id
                 if len(seen) > CACHED_KEYS:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                del rows, coded
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    objects = d.mapInArrow(run, OBJECTS).groupBy("kind", "key", "doc_id", "n_tokens").agg(F.first("payload").alias("payload"), F.count("*").alias("copies"))
+    objects = d.mapInArrow(tidy(run), OBJECTS).groupBy("kind", "key", "doc_id", "n_tokens").agg(F.first("payload").alias("payload"), F.count("*").alias("copies"))
     objects.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{root}/objects")
     found = spark.read.schema(OBJECTS + ", copies long").parquet(f"{root}/objects").where("kind = 'doc'")
     rows = found.select("doc_id", "key", "n_tokens", F.col("payload").alias("recipe"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
