@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by inner product, over balanced posting lists.
 
 Inner product becomes distance by one more component, sqrt(M^2 - |x|^2), with M the greatest norm; queries
-get 0 there and are scaled to M. Centroids are fitted on a bounded sample by k-means with a penalty on
-crowded clusters; every vector is indexed, in its nearest list and, at boundaries, in up to COPIES lists
-whose centroids are nearly as near and lie in other directions. Lists above SEGMENT rows are cut into
-segments that are searched each. Queries find lists by best-first search of a neighbour graph of the
-centroids, as far as those at `ratio` times the nearest one's distance; the ratio is the smallest that
-reaches `recall` on queries of the sample. Lists are scanned in full, in double precision.
+get 0 there and are scaled to M. Centroids are fitted on a bounded sample by k-means with a price on
+crowded clusters, which assignment pays too, so that lists come out even. Every vector is indexed, in its
+best list and, at boundaries, in up to COPIES lists whose centroids are nearly as near (COPY_RATIO).
+Lists above SEGMENT rows are cut into segments that are searched each.
+Queries find lists by best-first search of a neighbour graph of the centroids, as far as those at `ratio`
+times the nearest one's distance; the ratio is the smallest that reaches `recall` on queries of the
+sample. Lists are scanned in full; of what they give, SPARE more than asked for are measured again, each
+pair by one sum in the same order, so that ties are ties.
 
 Equal vectors are one entry with their K + 1 smallest ids; that is enough for every answer.
 """
@@ -17,12 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-K, SAMPLE, MOST_LISTS, LIST_ROWS, SEGMENT, COPIES, DEGREE = 20, 32_768, 2048, 256, 4096, 3, 16
+K, SAMPLE, MOST_LISTS, LIST_ROWS, SEGMENT, COPIES, COPY_RATIO, DEGREE, SPARE = 20, 32_768, 4096, 256, 4096, 3, 1.025, 16, 10
 
 
 def _matrix(column, dim: int, dtype: str) -> np.ndarray:
@@ -88,26 +90,28 @@ class Index:
     centroids: np.ndarray
     graph: np.ndarray
     top: float
-    copy_ratio: float = 1.1
+    price: np.ndarray
+    copy_ratio: float = COPY_RATIO
     ratio: float = 1.0
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int, top: float, k: int, recall: float, seed: int = 5) -> Index:
         rng = np.random.default_rng(seed)
-        index = cls(np.zeros((0, 0)), np.zeros((0, 0), np.int64), top)
+        index = cls(np.zeros((0, 0)), np.zeros((0, 0), np.int64), top, np.zeros(lists))
         a = index.augment(x)
         c = a[rng.choice(len(a), lists, replace=False)]
-        size = np.full(lists, len(a) / lists)
+        even = len(a) / lists
         for _ in range(8):
             total, count = np.zeros_like(c), np.zeros(lists)
             for i in range(0, len(a), 4096):
                 d = _distance(a[i : i + 4096], c)
-                near = (d**2 + 0.1 * (d**2).mean() * np.maximum(size / (len(a) / lists) - 1, 0)).argmin(1)
+                near = (d**2 + index.price).argmin(1)
+                spread = float((d.min(1) ** 2).mean())
                 np.add.at(total, near, a[i : i + 4096])
                 count += np.bincount(near, minlength=lists)
             empty = count == 0
             c = np.where(empty[:, None], a[rng.integers(0, len(a), lists)], total / np.maximum(count, 1)[:, None])
-            size = 0.5 * size + 0.5 * count
+            index.price = np.where(empty, 0, np.maximum(index.price + 0.05 * spread * np.clip(count / even - 1, -1, 1), 0))
         index.centroids = c
         d = _distance(c, c)
         np.fill_diagonal(d, np.inf)
@@ -136,29 +140,30 @@ class Index:
         return np.concatenate([q * (self.top / np.linalg.norm(q, axis=1))[:, None], np.zeros((len(q), 1))], 1)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        """Up to COPIES lists of each vector, -1 beyond: the nearest, and near ones in other directions."""
+        """Up to COPIES lists of each vector, -1 beyond: the best, and at boundaries those nearly as near."""
         out = np.full((len(x), COPIES), -1)
         for i in range(0, len(x), 2048):
             a = self.augment(x[i : i + 2048])
             d = _distance(a, self.centroids)
+            rows = np.arange(len(a))
+            out[i : i + 2048, 0] = first = (d**2 + self.price).argmin(1)
             order = np.argsort(d, 1)[:, : 3 * COPIES]
-            out[i : i + 2048, 0] = order[:, 0]
+            limit = self.copy_ratio * d[rows, first]
             taken = np.ones(len(a), np.int64)
-            for r in range(1, order.shape[1]):
+            for r in range(order.shape[1]):
                 c = order[:, r]
-                own = d[np.arange(len(a)), c]
-                ok = (own <= self.copy_ratio * d[np.arange(len(a)), order[:, 0]]) & (taken < COPIES)
-                for t in range(COPIES - 1):
-                    chosen = out[i : i + 2048, t]
-                    apart = np.linalg.norm(self.centroids[c] - self.centroids[np.maximum(chosen, 0)], axis=1)
-                    ok &= (chosen < 0) | (apart > own)
-                rows = np.flatnonzero(ok)
-                out[i + rows, taken[rows]] = c[rows]
-                taken[rows] += 1
+                own = d[rows, c]
+                ok = (own <= limit) & (c != first) & (taken < COPIES)
+                at = np.flatnonzero(ok)
+                out[i + at, taken[at]] = c[at]
+                taken[at] += 1
         return out
 
-    def lists(self, q: np.ndarray, beam: int = 8) -> np.ndarray:
-        """Which lists each query searches (a boolean matrix), by best-first search of the graph."""
+    def lists(self, q: np.ndarray, beam: int = 8, sizes: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """Which lists each query searches (a boolean matrix), by best-first search of the graph.
+
+        sizes: the lists' numbers of rows; where those found hold fewer than `least`, the next ones follow.
+        """
         q = self.queries(q)
         n, m = len(q), len(self.centroids)
         seen = np.full((n, m), np.inf)
@@ -181,13 +186,18 @@ class Index:
             new = np.unique(who[np.isinf(seen[who, to])] * m + to[np.isinf(seen[who, to])])
             who, to = new // m, new % m
             seen[who, to] = np.linalg.norm(q[who] - self.centroids[to], axis=1)
-        return seen <= self.ratio * seen.min(1)[:, None]
+        chosen = seen <= self.ratio * seen.min(1)[:, None]
+        if sizes is not None:
+            for r in np.flatnonzero(chosen @ sizes < least):
+                order = np.argsort(_distance(q[r : r + 1], self.centroids)[0])
+                chosen[r, order[: int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1]] = True
+        return chosen
 
 
 CELL = 1 << 24
 
 
-def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float = 0.97, list_rows: int = LIST_ROWS, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float = 0.95, list_rows: int = LIST_ROWS, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows found nearest to each row whose id is a multiple of query_every.
 
     Vectors that are null, zero, of another length than most or hold null or non-finite components, and
@@ -229,8 +239,10 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[r >= 0] for r in got.astype(np.int64)], pa.list_(pa.int64()))], names=["vid", "v", "lists"])
 
     posted = written(e.select("vid", "v").mapInArrow(place, "vid long, v binary, lists array<long>").select("vid", "v", F.explode("lists").alias("list")), "postings")
-    cuts = {r.list: -(-r["count"] // SEGMENT) for r in posted.groupBy("list").count().collect()}  # a row per list
-    segments = np.array([cuts.get(i, 0) for i in range(lists)], np.int64)
+    sizes = np.zeros(lists, np.int64)
+    for r in posted.groupBy("list").count().collect():  # a row per list
+        sizes[r.list] = r["count"]
+    segments = -(-sizes // SEGMENT)
     segment = F.pmod(F.xxhash64("vid"), F.element_at(F.array(*(F.lit(int(max(s, 1))) for s in segments)), (F.col("list") + 1).cast("int"))) if (segments > 1).any() else F.lit(0)
     cells = posted.select((F.col("list") * CELL + segment).alias("cell"), F.lit(0).alias("kind"), F.array("vid").alias("ids"), "v")
 
@@ -240,7 +252,7 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float
         for b in batches:
             ids, v = b.column(0).to_numpy(), b.column(1).to_pylist()
             for i in range(0, len(ids), 512):
-                chosen = shared.value.lists(_matrix(b.column(1).slice(i, 512), dim, kind))
+                chosen = shared.value.lists(_matrix(b.column(1).slice(i, 512), dim, kind), sizes=sizes, least=(k + 1) * COPIES)
                 rows = []
                 for c in np.flatnonzero(chosen.any(0)).tolist():
                     who = np.flatnonzero(chosen[:, c]) + i
@@ -270,7 +282,7 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float
                 if not len(base):
                     continue
                 s = np.frombuffer(v, kind).reshape(-1, dim).astype(np.float64) @ base.T
-                m = min(k + 1, len(base))
+                m = min(k + 1 + SPARE, len(base))
                 if m < len(base):
                     # at equal scores the smaller ids: all of them above or at the m-th score, then in order
                     least = np.partition(s, len(base) - m, axis=1)[:, len(base) - m]
@@ -282,23 +294,19 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float
 
     found = cells.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(scan, "q long, ids array<long>, scores array<double>")
 
-    def best(batches: Iterator) -> Iterator:
+    def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for q, ids, scores in zip(b.column(0).to_pylist(), *(c.to_pylist() for c in b.columns[1:]), strict=True):
-                i = np.concatenate([np.array(z, np.int64) for z in ids])
-                s = np.concatenate([np.array(z) for z in scores])
-                order = np.lexsort((i, -s))
-                i, s = i[order], s[order]
-                _, first = np.unique(i, return_index=True)  # copies of a vector in several lists
-                first = np.sort(first)[: k + 1]
-                out += [(q, a, c) for a, c in zip(i[first].tolist(), s[first].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["q", "vid", "score"])
-
-    hits = found.groupBy("q").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores")).mapInArrow(best, "q long, vid long, score double")
-    each = hits.join(e.select("vid", "ids"), "vid").select("q", "score", F.explode("ids").alias("id"))
+            score = (_matrix(b.column(2), dim, kind) * _matrix(b.column(3), dim, kind)).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["q", "vid", "score"])
+
+    # The best of a query, whatever the number of its lists: a vector is in COPIES lists at most.
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s.scores"), "s.ids"))
+    hits = found.select("q", F.explode(F.arrays_zip("ids", "scores")).alias("s")).withColumn("_r", best).where(F.col("_r") <= (k + 1 + SPARE) * COPIES)
+    pairs = hits.select("q", F.col("s.ids").alias("vid")).distinct().join(e.select(F.col("vid").alias("q"), F.col("v").alias("a")), "q").join(e.select("vid", F.col("v").alias("b")), "vid")
+    scored = pairs.select("q", "vid", "a", "b").mapInArrow(measure, "q long, vid long, score double")
+    each = scored.join(e.select("vid", "ids"), "vid").select("q", "score", F.explode("ids").alias("id"))
     answer = each.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k + 1).alias("hits"))
 
     def raw(batches: Iterator) -> Iterator:

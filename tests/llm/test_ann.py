@@ -65,3 +65,28 @@ def test_graph_search_finds_lists_in_the_ratio(spark):
     d = ann._distance(i.queries(x[:100]), i.centroids)
     exact = d <= i.ratio * d.min(1)[:, None]
     assert (i.lists(x[:100]) & exact).sum() >= 0.98 * exact.sum()
+
+
+def clustered(n, dim=32, clusters=20, seed=2):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(clusters, dim))
+    return middle[rng.integers(0, clusters, n)] + 0.35 * rng.normal(size=(n, dim))
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_boundary_vectors_are_replicated_and_lists_pruned(kind):
+    rng = np.random.default_rng(7)
+    x = clustered(6000) if kind == "clustered" else rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    i = ann.Index.fit(x, 60, 1.0, 20, 0.95)
+    at = i.assign(x)
+    sizes = np.bincount(at[at >= 0], minlength=60)
+    copies, scanned = (at >= 0).sum() / len(x), (i.lists(x[::20]) * sizes).sum(1).mean() / sizes.sum()
+    assert 1.0 < copies < 2.6 and scanned < (0.2 if kind == "clustered" else 0.8)
+    assert np.bincount(at[:, 0], minlength=60).max() <= 4 * len(x) / 60
+    s = x[::20] @ x.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -9
+    true = np.argsort(-s, 1)[:, :20]
+    found = [np.isin(t, np.flatnonzero(np.isin(at, np.flatnonzero(row)).any(1))).mean() for t, row in zip(true, i.lists(x[::20]), strict=True)]
+    print(kind, copies, scanned, np.mean(found))
+    assert np.mean(found) >= 0.9
