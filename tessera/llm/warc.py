@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table, written
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256_000, 64_000_000, 3
+#: Compressed bytes of frames that a task reads, about; it reads them one frame at a time.
+READ_BYTES = 2_000_000
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 INDEX = "record_id string, page_id long, bundle string, frame int, frame_start long, frame_size long, offset long, length long"
@@ -200,7 +202,11 @@ def _named(page_id: int | None, made: tuple[str, bytes]) -> tuple[str, int | Non
 
 
 def read_archive(archive: Archive) -> DataFrame:
-    """Every record of the bundles that the index names: RECORD's columns; payload is null for revisits."""
+    """Every record of the bundles that the index names: RECORD's columns; payload is null for revisits.
+
+    The frames are dealt out by their place, to as many tasks as their bytes ask for. A damaged payload
+    raises an error; an archive of an empty table gives no rows; repeated rows are records of their own.
+    """
     root = archive.root
 
     def run(batches: Iterator) -> Iterator:
@@ -225,7 +231,8 @@ def read_archive(archive: Archive) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     frames = archive.index().select("bundle", "frame_start", "frame_size").distinct()
-    return frames.mapInArrow(run, RECORD)
+    size = frames.agg(F.sum("frame_size")).first()[0] or 0
+    return frames.repartition(size // READ_BYTES + 1, "bundle", "frame_start").mapInArrow(run, RECORD)
 
 
 def op10_seekable_warc(spark, sf_dir: str) -> DataFrame:
