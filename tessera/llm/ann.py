@@ -15,11 +15,12 @@ Equal vectors are one entry with their K + 1 smallest ids; that is enough for ev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -243,6 +244,7 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float
     for r in posted.groupBy("list").count().collect():  # a row per list
         sizes[r.list] = r["count"]
     segments = -(-sizes // SEGMENT)
+    slots = math.isqrt(int(segments.sum())) + 1  # answers of a query are merged in so many parts, then these
     segment = F.pmod(F.xxhash64("vid"), F.element_at(F.array(*(F.lit(int(max(s, 1))) for s in segments)), (F.col("list") + 1).cast("int"))) if (segments > 1).any() else F.lit(0)
     cells = posted.select((F.col("list") * CELL + segment).alias("cell"), F.lit(0).alias("kind"), F.array("vid").alias("ids"), "v")
 
@@ -289,10 +291,25 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float
                 for r, q in enumerate(who):
                     take = np.flatnonzero(s[r] >= least[r]) if m < len(base) else np.arange(len(base))
                     take = take[np.lexsort((ids[take], -s[r][take]))][:m]
-                    out.append((q, ids[take], s[r][take]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["q", "ids", "scores"])
+                    out.append((q, (at // CELL + at % CELL) % slots, ids[take], s[r][take]))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(types)], names=["q", "slot", "ids", "scores"])
 
-    found = cells.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(scan, "q long, ids array<long>, scores array<double>")
+    found = cells.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(scan, "q long, slot long, ids array<long>, scores array<double>")
+
+    def best(batches: Iterator) -> Iterator:
+        """q, lists of ids and scores -> the best of them, each id once."""
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for q, ids, scores in zip(b.column(0).to_pylist(), *(c.to_pylist() for c in b.columns[1:]), strict=True):
+                i, s = np.concatenate([np.array(x, np.int64) for x in ids]), np.concatenate([np.array(x) for x in scores])
+                order = np.lexsort((i, -s))
+                _, first = np.unique(i[order], return_index=True)  # a vector that stands in several lists
+                pick = order[np.sort(first)[: k + 1 + SPARE]]
+                out.append((q, i[pick], s[pick]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))], names=["q", "ids", "scores"])
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -301,10 +318,10 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float
             score = (_matrix(b.column(2), dim, kind) * _matrix(b.column(3), dim, kind)).sum(1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["q", "vid", "score"])
 
-    # The best of a query, whatever the number of its lists: a vector is in COPIES lists at most.
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s.scores"), "s.ids"))
-    hits = found.select("q", F.explode(F.arrays_zip("ids", "scores")).alias("s")).withColumn("_r", best).where(F.col("_r") <= (k + 1 + SPARE) * COPIES)
-    pairs = hits.select("q", F.col("s.ids").alias("vid")).distinct().join(e.select(F.col("vid").alias("q"), F.col("v").alias("a")), "q").join(e.select("vid", F.col("v").alias("b")), "vid")
+    both = F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores")
+    hits = found.groupBy("q", "slot").agg(*both).select("q", "ids", "scores").mapInArrow(best, "q long, ids array<long>, scores array<double>")
+    hits = hits.groupBy("q").agg(*both).mapInArrow(best, "q long, ids array<long>, scores array<double>").select("q", F.explode("ids").alias("vid"))
+    pairs = hits.join(e.select(F.col("vid").alias("q"), F.col("v").alias("a")), "q").join(e.select("vid", F.col("v").alias("b")), "vid")
     scored = pairs.select("q", "vid", "a", "b").mapInArrow(measure, "q long, vid long, score double")
     each = scored.join(e.select("vid", "ids"), "vid").select("q", "score", F.explode("ids").alias("id"))
     answer = each.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k + 1).alias("hits"))
