@@ -8,6 +8,7 @@ reverted document goes back to what is stored of it, and deleted ones leave the
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from datetime import UTC, datetime
@@ -26,6 +27,9 @@ from tessera.operators.delta import changed, missing
 from tessera.sources.files import extract_text, list_files, read_files
 from tessera.sources.store import Store
 
+#: Changed files that a run reads by name; their names come to the driver.
+LISTED_PATHS = 10_000
+
 
 def documents(texts: DataFrame, run_id: str, shards: int) -> DataFrame:
     """(uri, text) -> the DOCS columns and `norm`; texts that are null or empty after normalisation are left out."""
@@ -44,6 +48,19 @@ def chunks_of(docs: DataFrame, run_id: str, config: Config) -> DataFrame:
     return c.select("docId", "contentHash", "uri", "title", "language", F.col("ix").alias("chunkIx"), "start", "end", F.col("chunk_text").alias("chunkText"), ids.section_path(F.col("ix")).alias("sectionPath"), cid.alias("chunkId"), F.lit(run_id).alias("runId"), "shard")
 
 
+def suspects(spark: SparkSession, root: str, suspect: DataFrame, pattern: str) -> DataFrame:
+    """uri, length, mtime, content of the suspect files: up to LISTED_PATHS are read by name, and nothing else is.
+
+    Where more are suspect, as in a first run, the folder is read and the others are left out.
+    """
+    paths = [r.uri for r in suspect.select("uri").distinct().limit(LISTED_PATHS + 1).collect()]
+    if not paths:
+        return read_files(spark, root, pattern).limit(0)
+    if len(paths) > LISTED_PATHS:
+        return read_files(spark, root, pattern).join(suspect.select("uri"), "uri", "left_semi")
+    return read_files(spark, [re.sub(r"([][{}*?\\])", r"\\\1", p) for p in paths])
+
+
 def build(spark: SparkSession, sources: DataFrame | str, root: str, embedder: Embedder, config: Config | None = None, pattern: str = "*", content: DataFrame | None = None) -> dict:
     """Bring the store at root up to date with the sources; returns the run's metrics.
 
@@ -56,15 +73,14 @@ def build(spark: SparkSession, sources: DataFrame | str, root: str, embedder: Em
     known = s.read("manifest", schemas.MANIFEST).persist()
     # 1. Files that look new; of these, those whose bytes are new; their text.
     suspect = changed(listing, known, "uri", ["length", "mtime"])
-    files = read_files(spark, sources, pattern) if isinstance(sources, str) else sources
-    hashed = files.join(suspect.select("uri"), "uri", "left_semi").withColumn("sha256", F.sha2("content", 256))
-    fresh = changed(hashed, known, "uri", ["sha256"])
-    docs = documents(extract_text(fresh), run_id, c.shards).persist()
-    hashes = hashed.select("uri", "sha256").persist()
+    files = suspects(spark, sources, suspect, pattern) if isinstance(sources, str) else sources.join(suspect.select("uri"), "uri", "left_semi")
+    hashes = files.select("uri", F.sha2("content", 256).alias("sha256")).persist()
+    fresh = changed(hashes, known, "uri", ["sha256"]).select("uri")
+    docs = documents(extract_text(files.join(fresh, "uri", "left_semi")), run_id, c.shards).persist()
     # 2. The manifest to be: what is listed, and which version of which document each file is now.
     versions = docs.select("uri", F.col("docId").alias("_doc"), F.col("contentHash").alias("_hash"))
     old = known.select("uri", F.col("sha256").alias("_old"), F.col("docId").alias("_odoc"), F.col("contentHash").alias("_ohash"))
-    touched = fresh.select("uri").distinct().withColumn("_new", F.lit(True))
+    touched = fresh.distinct().withColumn("_new", F.lit(True))
     m = listing.join(old, "uri", "left").join(hashes.withColumnRenamed("sha256", "_sha"), "uri", "left").join(versions, "uri", "left").join(touched, "uri", "left")
     pick = lambda new, was: F.when(F.col("_new"), F.col(new)).otherwise(F.col(was))
     manifest = m.select("uri", "length", "mtime", F.coalesce("_sha", "_old", F.lit("")).alias("sha256"), pick("_doc", "_odoc").alias("docId"), pick("_hash", "_ohash").alias("contentHash")).persist()

@@ -31,8 +31,8 @@ class Store:
         return self.spark.read.schema(schema).parquet(self.path(name)) if self.exists(name) else schemas.empty(self.spark, schema)
 
     def append(self, df: DataFrame, name: str, partitions: list[str], order: str = "docId") -> None:
-        """Append, one file for each partition and rows_per_file rows; sorted by `order` within."""
-        w = df.repartition(*partitions).sortWithinPartitions(*partitions, order).write.mode("append")
+        """Append, files of rows_per_file rows; sorted by `order` within. A partition's rows are dealt out by `order`, so that a large one is no single task."""
+        w = df.repartition(*partitions, order).sortWithinPartitions(*partitions, order).write.mode("append")
         w.option("maxRecordsPerFile", self.rows_per_file).partitionBy(*partitions).parquet(self.path(name))
 
     def overwrite_partitions(self, df: DataFrame, name: str, partitions: list[str]) -> None:
@@ -52,10 +52,10 @@ class Store:
             raise OSError(f"can't move {beside} to {self.path(name)}")
         self.spark.catalog.refreshByPath(self.path(name))
 
-    def publish(self, df: DataFrame, name: str, partitions: list[str], at_ms: int) -> str:
+    def publish(self, df: DataFrame, name: str, partitions: list[str], at_ms: int, order: str = "docId") -> str:
         """An immutable snapshot, then the pointer to it; readers see the old one or the new one, whole."""
         rel = f"snapshots/{name}/{at_ms}-{uuid.uuid4().hex[:8]}"
-        df.repartition(*partitions).sortWithinPartitions(*partitions).write.option("maxRecordsPerFile", self.rows_per_file).partitionBy(*partitions).parquet(self.path(rel))
+        df.repartition(*partitions, order).sortWithinPartitions(*partitions, order).write.option("maxRecordsPerFile", self.rows_per_file).partitionBy(*partitions).parquet(self.path(rel))
         self._put(f"{name}.CURRENT.json", json.dumps({"path": rel, "publishedAtMs": at_ms}))
         return rel
 

@@ -121,3 +121,17 @@ def test_partitions_are_replaced_alone(spark, root):
     s.append(spark.createDataFrame([(1, "a"), (2, "b")], "docId int, p string"), "t", ["p"])
     s.overwrite_partitions(spark.createDataFrame([(3, "a")], "docId int, p string"), "t", ["p"])
     assert sorted((r.docId, r.p) for r in s.read("t", "docId int, p string").collect()) == [(2, "b"), (3, "a")]
+
+
+def test_only_suspect_files_are_read(spark, tmp_path):
+    from tessera.plans.build import suspects
+    from tessera.sources.files import list_files
+
+    for name in ("a.txt", "b[1].txt", "b1.txt", "c{x}*.txt"):
+        (tmp_path / name).write_text(name)
+    listing = list_files(spark, str(tmp_path))
+    some = suspects(spark, str(tmp_path), listing.where("uri LIKE '%b[1]%' OR uri LIKE '%c{x}%'"), "*")
+    assert sorted(bytes(r.content).decode() for r in some.collect()) == ["b[1].txt", "c{x}*.txt"]
+    assert len(some.inputFiles()) == 2
+    none = suspects(spark, str(tmp_path), listing.where("false"), "*")
+    assert none.collect() == [] and "FileScan" not in none._jdf.queryExecution().executedPlan().toString()
