@@ -83,14 +83,16 @@ def chunk_count(spark, d):
 
 
 def _fixed(spark, d):
-    c = _norm(spark, d).select("doc_id", "uri", "norm", F.explode(chunk.fixed_windows(F.col("norm"), 900, 108)).alias("p"))
-    key = ids.chunk_id(ids.doc_id(F.col("uri")), F.col("p.start"), F.col("p.end"), ids.content_hash(F.col("norm")))
-    return c.select("doc_id", F.col("p.ix").cast("long").alias("ix"), F.col("p.start").cast("long").alias("chunk_start"), F.col("p.end").cast("long").alias("chunk_end"), key.alias("chunk_id"), ids.section_path(F.col("p.ix")).alias("section"))
+    # Documents are hashed before they are cut, once each.
+    k = _norm(spark, d).select("doc_id", "norm", ids.doc_id(F.col("uri")).alias("docId"), ids.content_hash(F.col("norm")).alias("contentHash"))
+    c = k.select("doc_id", "docId", "contentHash", F.explode(chunk.fixed_windows(F.col("norm"), 900, 108)).alias("p"))
+    key = ids.chunk_id(F.col("docId"), F.col("p.start"), F.col("p.end"), F.col("contentHash"))
+    return c.select("doc_id", "contentHash", F.col("p.ix").cast("long").alias("ix"), F.col("p.start").cast("long").alias("chunk_start"), F.col("p.end").cast("long").alias("chunk_end"), key.alias("chunk_id"), ids.section_path(F.col("p.ix")).alias("section"))
 
 
 @query
 def chunk_fixed(spark, d):
-    return _fixed(spark, d)
+    return _fixed(spark, d).drop("contentHash")
 
 
 @query
@@ -177,9 +179,9 @@ def latest_version(spark, d):
 @query
 def index_join(spark, d):
     docs = _keys(spark, d).select("doc_id", "contentHash")
-    chunks = _fixed(spark, d).join(_keys(spark, d).select("doc_id", "contentHash"), "doc_id").select("doc_id", "contentHash", "ix", "chunk_id")
-    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    vectors = _fixed(spark, d).where("ix = 0").join(v, "doc_id").select("chunk_id", F.size("embedding").cast("long").alias("dim"))
+    chunks = _fixed(spark, d).select("doc_id", "contentHash", "ix", "chunk_id")
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.size("embedding").cast("long").alias("dim"))
+    vectors = _fixed(spark, d).select("doc_id", "chunk_id").join(v, "doc_id").select("chunk_id", "dim")  # a document's vector for each of its chunks
     return delta.index_rows(docs, chunks, vectors, ("doc_id", "contentHash"), "chunk_id").select("doc_id", "contentHash", "ix", "chunk_id", "dim")
 
 
@@ -403,8 +405,12 @@ def embed_hashing(spark, d):
 
 
 def shared_root(spark: SparkSession, name: str) -> str:
-    """A new folder in the storage that driver and executors share; without one set, on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    """A new folder in the storage that driver and executors share; with a local master, where none is set, on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -416,7 +422,7 @@ def build_incremental(spark, d):
     from tessera.plans.build import build
     from tessera.plans.query import context_of, load_index, search
 
-    root, e, c = shared_root(spark, "index"), HashingEmbedder(), Config(shards=8)
+    root, e, c = shared_root(spark, "index"), HashingEmbedder(), Config()
     sources = _docs(spark, d).select("uri", F.octet_length("text").cast("long").alias("length"), F.lit(0).cast("long").alias("mtime"), F.encode("text", "UTF-8").alias("content"))
     first = build(spark, sources, root, e, c)
     again = build(spark, sources, root, e, c)

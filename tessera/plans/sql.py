@@ -67,7 +67,7 @@ SELECT doc_id, docId, contentHash FROM k WHERE (docId, contentHash) NOT IN (SELE
     "latest_version": f"""WITH {DOCS}, u AS (SELECT doc_id, sha256(t) AS hash, 1 AS version FROM d UNION ALL SELECT doc_id, sha256(t || '2'), 2 FROM d WHERE lang = 'de' UNION ALL SELECT doc_id, sha256(t || '3'), 1 FROM d WHERE lang = 'fr')
 SELECT doc_id, hash, version FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC, hash DESC) = 1""",
     "index_join": f"""WITH {FIXED} SELECT c.doc_id, sha256(d.t) AS contentHash, c.ix, c.chunk_id, CAST(len(e.embedding) AS BIGINT) AS dim
-FROM c JOIN d USING (doc_id) JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.ix = 0""",
+FROM c JOIN d USING (doc_id) JOIN embeddings e ON e.vec_id = c.doc_id""",
     "distinct_keys": f"WITH {DOCS} SELECT count(DISTINCT sha256(t)) AS n_versions FROM d",
     "union_dedupe": f"WITH {DOCS}, k AS (SELECT sha256(uri) AS docId, sha256(t) AS contentHash, lang FROM d) SELECT docId, contentHash FROM k UNION SELECT docId, contentHash FROM k WHERE lang = 'en'",
     "metrics_window": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS runAt, epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS runAtMs, count(*) AS rows, round(sum(value), 3) AS total
