@@ -3,7 +3,7 @@
 Features of a text's surface (shares of character classes, repetition, lengths) are cut into
 quantile bins. Cyclic boosting takes the features in turn, and adds to the feature's lookup table a
 small step of a shallow tree's fit to the residuals over its bins; then the pairs of features that
-best explain what is left get tables of their own, boosted in the same way. A score is the logistic of
+best explain what is left get tables of their own, boosted by shallow trees that split either feature. A score is the logistic of
 a sum of table look-ups, done for a batch at a time.
 
 The model is fitted on at most FIT_ROWS labelled documents, chosen by a hash of their id: the bound on
@@ -99,6 +99,43 @@ def _tree(gradient: np.ndarray, weight: np.ndarray, leaves: int = 3) -> np.ndarr
     return out
 
 
+def _pair_tree(gradient: np.ndarray, weight: np.ndarray, leaves: int = 4) -> np.ndarray:
+    """The values of a shallow regression tree over a grid of two features' bins: the best splits, of either, one after the other."""
+    least = min(5.0, 0.05 * weight.sum())
+    whole = (0, gradient.shape[0], 0, gradient.shape[1])
+
+    def sums(r: tuple[int, int, int, int]) -> tuple[float, float]:
+        return gradient[r[0] : r[1], r[2] : r[3]].sum(), weight[r[0] : r[1], r[2] : r[3]].sum()
+
+    def best(r: tuple[int, int, int, int]) -> tuple:
+        g, w = sums(r)
+        found = (0.0, r, r)
+        for axis in (0, 1):
+            a, z = r[2 * axis : 2 * axis + 2]
+            gl, wl = (np.cumsum(x[r[0] : r[1], r[2] : r[3]].sum(1 - axis))[:-1] for x in (gradient, weight))
+            v = gl**2 / (wl + 1) + (g - gl) ** 2 / (w - wl + 1) - g**2 / (w + 1)
+            v = np.where((wl >= least) & (w - wl >= least), v, 0)
+            if len(v) and v.max() > found[0]:
+                at = a + 1 + int(v.argmax())
+                low, high = list(r), list(r)
+                low[2 * axis + 1], high[2 * axis] = at, at
+                found = (float(v.max()), tuple(low), tuple(high))
+        return found
+
+    parts = [whole]
+    while len(parts) < leaves:
+        splits = [best(r) for r in parts]
+        k = max(range(len(parts)), key=lambda i: splits[i][0])
+        if splits[k][0] <= 0:
+            break
+        parts[k : k + 1] = splits[k][1:]
+    out = np.zeros(gradient.shape)
+    for r in parts:
+        g, w = sums(r)
+        out[r[0] : r[1], r[2] : r[3]] = g / (w + 1)
+    return out
+
+
 @dataclass
 class Model:
     edges: list[np.ndarray]
@@ -157,9 +194,9 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40,
         for a, b, t in m.pairs:
             r, h = residual()
             cell = coarse[a] * t.shape[1] + coarse[b]
-            step = rate * np.clip(np.bincount(cell, r, t.size) / (np.bincount(cell, h, t.size) + 5), -2, 2)
-            t += step.reshape(t.shape)
-            z += step[cell]
+            step = rate * np.clip(_pair_tree(np.bincount(cell, r, t.size).reshape(t.shape), np.bincount(cell, h, t.size).reshape(t.shape)), -4, 4)
+            t += step
+            z += step.ravel()[cell]
     return m
 
 
@@ -201,7 +238,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_ro
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score for each row; null texts score as empty ones. Nothing but the text enters a score."""
+    """doc_id, score for each row; null texts score as empty ones. Nothing but the text enters a score.
+
+    Equal texts score alike, repeated rows stay, an empty table gives no rows; other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
 
     def run(batches: Iterator) -> Iterator:
@@ -217,7 +257,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, whose text scores `least` or more."""
+    """The rows of docs, all their columns, whose text scores `least` or more (a null text as an empty one; repeated rows alike)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -51,3 +51,30 @@ def test_bound_of_the_sample(spark):
     docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text of ', id) AS text")
     labels = spark.range(2000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
     assert isinstance(Q.train(docs, labels, fit_rows=100), Q.Model)
+
+
+def test_pair_trees_against_all_splits():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        g, w = rng.normal(size=(5, 4)), rng.uniform(5, 9, size=(5, 4))
+        value = lambda m: g[m].sum() ** 2 / (w[m].sum() + 1)
+        a, b = np.indices(g.shape)
+        masks = [a < k for k in range(1, 5)] + [b < k for k in range(1, 4)]
+        best = max(masks, key=lambda m: value(m) + value(~m))
+        want = np.where(best, g[best].sum() / (w[best].sum() + 1), g[~best].sum() / (w[~best].sum() + 1))
+        assert np.allclose(Q._pair_tree(g, w, leaves=2), want)
+        assert len(np.unique(Q._pair_tree(g, w).round(12))) <= 4
+
+
+def test_scores_against_looking_up_one_by_one():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, len(Q.FEATURES))).round(1)  # ties on the bins' edges
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    m = Q.fit(x, y)
+    want = []
+    for row in x[:100]:
+        z = m.intercept + sum(t[sum(e <= v for e in edges)] for t, edges, v in zip(m.tables, m.edges, row, strict=True))
+        z += sum(t[sum(e <= row[a] for e in m.pair_edges[a]), sum(e <= row[b] for e in m.pair_edges[b])] for a, b, t in m.pairs)
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(m.score(x[:100]), want)
+    assert ((m.score(x) >= 0.5) == y).mean() > 0.85  # which no sum of single features gives
