@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path in the storage that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent (tests, one machine) a temporary folder takes its place.
+    Where the setting is absent a local master (tests, one machine) gets a temporary folder; others are an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
