@@ -401,7 +401,8 @@ def embed_hashing(spark, d):
     from tessera.models import HashingEmbedder, embed_column
 
     e = embed_column(_norm(spark, d).select("doc_id", "norm"), "norm", HashingEmbedder())
-    return e.select("doc_id", F.round(V.norm(F.col("embedding")), 4).alias("norm"), F.size("embedding").alias("dim"))
+    count = lambda test: F.size(F.filter("embedding", test))
+    return e.select("doc_id", F.round(V.norm(F.col("embedding")), 4).alias("norm"), F.size("embedding").alias("dim"), count(lambda x: x > 0).alias("positive"), count(lambda x: x < 0).alias("negative"))
 
 
 def shared_root(spark: SparkSession, name: str) -> str:

@@ -33,6 +33,21 @@ HITS = f"{SCORED}, h AS (SELECT d.doc_id, d.text, d.lang, d.source, s.score FROM
 SETS = r"""w AS (SELECT doc_id, string_split_regex(lower(text), '\W+') AS a FROM documents),
 x AS (SELECT doc_id, list_distinct(CASE WHEN len(a) > 1 AND a[-1] = '' THEN a[1:len(a) - 1] ELSE a END) AS w FROM w)"""
 
+# Re-ranking: the 30 best hits of each question, in the order in which the greedy rules take them.
+ASKED = f"""{HITS}, a AS (SELECT source AS question, lang AS source, CAST(doc_id AS INTEGER) AS chunk_id, score, text FROM h QUALIFY row_number() OVER (PARTITION BY h.source ORDER BY score DESC, doc_id) <= 30),
+o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, source, chunk_id) AS place FROM a)"""
+WORDS = r"x AS (SELECT question, place, score, list_distinct(string_split_regex(lower(text), '[^a-zA-Z0-9_]+')) AS w FROM o)"
+# Each step takes the hit with the best score less likeness to those taken before.
+TAKEN = "t1 AS (SELECT question, place, 0 AS pos FROM x QUALIFY row_number() OVER (PARTITION BY question ORDER BY CAST(0.7 AS DOUBLE) * score DESC, place) = 1)" + "".join(
+    f""",
+t{n + 1} AS (SELECT * FROM t{n} UNION ALL SELECT question, place, {n} FROM (
+  SELECT x.question, x.place, any_value(x.score) AS score, max(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w)))) AS same
+  FROM x JOIN t{n} t ON t.question = x.question JOIN x y ON y.question = t.question AND y.place = t.place
+  WHERE (x.question, x.place) NOT IN (SELECT (question, place) FROM t{n}) GROUP BY x.question, x.place)
+  QUALIFY row_number() OVER (PARTITION BY question ORDER BY CAST(0.7 AS DOUBLE) * score - (CAST(1 AS DOUBLE) - CAST(0.7 AS DOUBLE)) * same DESC, place) = 1)"""
+    for n in range(1, 5)
+)
+
 SQL = {
     "normalize_hash": f"WITH {DOCS} SELECT doc_id, length(t) AS norm_chars, sha256(t) AS content_hash, sha256(uri) AS doc_key FROM d",
     "text_quality": f"WITH {DOCS} SELECT doc_id, round({ALPHA}, 6) AS alpha, round({SYMBOLS}, 6) AS symbols, {JUNK} AS junk FROM d",
@@ -98,4 +113,36 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, {REFS} AS refs FROM c""",
     "section_boost": "SELECT doc_id, CAST(round(0.5 + CASE lang WHEN 'en' THEN 0.08 WHEN 'fr' THEN 0.05 WHEN 'de' THEN 0.03 ELSE 0 END, 6) AS DOUBLE) AS score FROM documents",
     "parse_hits": "SELECT event_type, count(*) AS n, count(k) AS good, CAST(sum(k) AS BIGINT) AS total FROM (SELECT event_type, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(props->>'k' AS INTEGER) END AS k FROM events) GROUP BY event_type",
     "json_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "cap_per_doc": f"""WITH {ASKED}, p AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY question, source, chunk_id // 1000 ORDER BY place) = 1),
+k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY question, source ORDER BY place) <= 2)
+SELECT question, source, chunk_id, score, CAST(row_number() OVER (PARTITION BY question ORDER BY place) - 1 AS INTEGER) AS pos FROM k""",
+    "mmr": f"WITH {ASKED}, {WORDS}, {TAKEN} SELECT question, source, chunk_id, score, CAST(pos AS INTEGER) AS pos FROM t5 JOIN o USING (question, place)",
+    "budget_pack": f"""WITH RECURSIVE {ASKED}, z AS (SELECT question, place, length(text) + 2 AS size FROM o),
+g AS (SELECT question, place, size <= 6000 AS taken, CASE WHEN size <= 6000 THEN size ELSE 0 END AS used FROM z WHERE place = 1
+  UNION ALL SELECT z.question, z.place, used + size <= 6000, CASE WHEN used + size <= 6000 THEN used + size ELSE used END FROM g JOIN z ON z.question = g.question AND z.place = g.place + 1)
+SELECT question, source, chunk_id, score, CAST(row_number() OVER (PARTITION BY question ORDER BY place) - 1 AS INTEGER) AS pos FROM o JOIN g USING (question, place) WHERE taken""",
+    "context_from_hits": rf"""WITH {HITS}, b AS (SELECT source AS run, score, 'doc://' || doc_id AS uri, trim(replace(regexp_replace(printf('[%s #%d | score=%.4f]', lang, doc_id, round(score, 4)) || chr(10) || text, '\s+', ' ', 'g'), ' ? ', '? ')) AS block
+  FROM h WHERE length(text) > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 10),
+f AS (SELECT *, trim(lower(block)) AS s FROM b QUALIFY row_number() OVER (PARTITION BY run, substring(block, 1, 160) ORDER BY score DESC, uri) = 1),
+j AS (SELECT b.run, string_agg(block, chr(10) || chr(10) ORDER BY score DESC, uri) FILTER (length(block) >= 40 AND NOT {REFS}) AS c FROM f AS b GROUP BY b.run)
+SELECT run, CASE WHEN length(c) > 2048 THEN substring(c, 1, 2048) || '…' ELSE coalesce(c, '') END AS context FROM j""",
+    "embed_hashing": rf"""WITH {DOCS}, w AS (SELECT doc_id, unnest(string_split_regex(lower(t), '\s+')) AS w FROM d), k AS (SELECT doc_id, sha256(w) AS k FROM w WHERE length(w) > 0),
+b AS (SELECT doc_id, CAST('0x' || k[7:8] AS INTEGER) % 64 AS bucket, sum(CASE WHEN CAST('0x' || k[10:10] AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM k GROUP BY ALL)
+SELECT doc_id, CASE WHEN count(*) FILTER (v <> 0) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm, 64 AS dim, CAST(count(*) FILTER (v > 0) AS INTEGER) AS positive, CAST(count(*) FILTER (v < 0) AS INTEGER) AS negative
+FROM d LEFT JOIN b USING (doc_id) GROUP BY doc_id""",
+    "chunk_compat": rf"""WITH RECURSIVE {DOCS}, n AS MATERIALIZED (SELECT doc_id, t FROM d WHERE length(t) > 0),
+w AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS s, CASE WHEN length(regexp_extract(t[1:900], '(?s)^(.*\.)', 1)) >= 541 THEN regexp_extract(t[1:900], '(?s)^(.*\.)', 1) ELSE t[1:900] END AS p FROM n
+  UNION ALL
+  SELECT doc_id, a, CASE WHEN length(regexp_extract(piece, '(?s)^(.*\.)', 1)) >= 541 THEN regexp_extract(piece, '(?s)^(.*\.)', 1) ELSE piece END
+  FROM (SELECT doc_id, s + greatest(1, length(trim(p)) - 108) AS a, t[s + greatest(1, length(trim(p)) - 108) + 1:s + greatest(1, length(trim(p)) - 108) + 900] AS piece, t FROM w JOIN n USING (doc_id))
+  WHERE a < length(t)),
+q AS (SELECT doc_id, s, trim(p) AS t FROM w),
+k AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS ix, t AS piece FROM q WHERE NOT {JUNK}),
+m AS (
+  SELECT doc_id, CAST(-1 AS BIGINT) AS ix, '' AS piece, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS stop FROM n
+  UNION ALL
+  SELECT k.doc_id, k.ix, k.piece, strpos(t[stop + 1:], k.piece), CASE WHEN strpos(t[stop + 1:], k.piece) > 0 THEN stop + strpos(t[stop + 1:], k.piece) - 1 + length(k.piece) ELSE stop END
+  FROM m JOIN k ON k.doc_id = m.doc_id AND k.ix = m.ix + 1 JOIN n ON n.doc_id = m.doc_id)
+SELECT doc_id, CAST(ix AS INTEGER) AS ix, CAST(stop - length(piece) AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", sha256(piece) AS sha FROM m WHERE ix >= 0 AND place > 0""",
 }
