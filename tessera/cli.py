@@ -57,6 +57,7 @@ def main(argv: list[str] | None = None) -> int:
 
     builder = SparkSession.builder.appName("tessera").config("spark.sql.session.timeZone", "UTC")
     spark = (builder.master(a.master) if a.master else builder).getOrCreate()
+    c.export(spark)
     if a.command in ("add-context", "build"):
         if "://" not in a.out:
             Path(a.out).mkdir(parents=True, exist_ok=True)
@@ -69,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
     from tessera.plans.query import answer, load_index
 
     try:
-        index = load_index(spark, a.index_table, a.index_path, a.out)
+        index = load_index(spark, a.index_table, a.index_path, a.out, c)
     except FileNotFoundError as e:
         print(e, file=sys.stderr)
         return 2

@@ -16,6 +16,7 @@ class Config:
     min_alpha: float = 0.45
     max_symbols: float = 0.55
     shards: int = 64
+    index_path: str = ""
     embed_batch: int = 64
     rows_per_file: int = 5000
     top_k: int = 5
@@ -42,6 +43,11 @@ class Config:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         return cls(**found)
 
+    def export(self, spark) -> None:
+        """Every field as the session's setting tessera.<field>, where sources and tasks of its jobs find them too."""
+        for f in fields(self):
+            spark.conf.set(f"tessera.{f.name}", str(getattr(self, f.name)))
+
 
 def model_host() -> str:
     """The model server's address: OLLAMA_BASE_URL, else OLLAMA_HOST, else this machine."""

@@ -29,6 +29,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), 0.0).when(length == 0, 0.0).otherwise(dot(a, b) / length)
 
 
+def scaled(cosine: Column) -> Column:
+    """A cosine as a score between 0 and 1."""
+    return (F.lit(1.0) + cosine) / 2
+
+
 def l2_normalize(v: Column) -> Column:
     """v over its norm, as floats; zero vectors stay."""
     n = norm(v)

@@ -102,7 +102,9 @@ def build(spark: SparkSession, sources: DataFrame | str, root: str, embedder: Em
     index = chunks.join(vectors, "chunkId").select(*(f.split()[0] for f in schemas.INDEX.split(", ")))
     s.publish(index, "retrieval_index", ["shard"], int(began * 1000))
     s.vacuum("retrieval_index")
-    counts = {"numDocsScanned": manifest.count(), "numChangedDocs": docs.count()}
+    changed_docs = docs.count()
+    # skipped: changed files without text or that could not be read
+    counts = {"numDocsScanned": manifest.count(), "numChangedDocs": changed_docs, "numSkippedDocs": fresh.count() - changed_docs}
     s.replace(manifest, "manifest")
     written = lambda name, schema: s.read(name, schema).where(F.col("runId") == run_id).count()
     row = {"runAt": now.isoformat(), "runAtMs": int(began * 1000)} | counts | {

@@ -14,12 +14,14 @@ from tessera.operators.topk import top_k
 from tessera.sources.store import Store
 
 
-def load_index(spark: SparkSession, table: str | None = None, path: str | None = None, root: str | None = None) -> DataFrame:
-    """The index: a catalog table, else a Parquet path, else the current snapshot of a store, else a path below root."""
+def load_index(spark: SparkSession, table: str | None = None, path: str | None = None, root: str | None = None, config: Config | None = None) -> DataFrame:
+    """The index: a catalog table, else a Parquet path, else the configured path if it is there, else the current snapshot of a store, else a path below root."""
     if table:
         return spark.table(table)
     if path:
         return spark.read.schema(schemas.INDEX).parquet(path)
+    if config and config.index_path and Store(spark, config.index_path).exists("."):
+        return spark.read.schema(schemas.INDEX).parquet(config.index_path)
     if root:
         store = Store(spark, root)
         if store.current("retrieval_index"):
@@ -30,12 +32,16 @@ def load_index(spark: SparkSession, table: str | None = None, path: str | None =
     raise FileNotFoundError("no index: give a table, a path or a store with a published index")
 
 
-def search(index: DataFrame, vector: list[float], k: int, embedder: Embedder | None = None) -> DataFrame:
-    """The k chunks of greatest cosine, ties by docId and chunkIx; an embedder's own vectors only."""
+def search(index: DataFrame, vector: list[float], k: int, embedder: Embedder | None = None, scaled: bool = False) -> DataFrame:
+    """The k chunks of greatest cosine, ties by docId and chunkIx; an embedder's own vectors only.
+
+    scaled: scores as (1 + cosine) / 2, between 0 and 1; the order is the same.
+    """
     if embedder:
         index = index.where((F.col("embedder") == embedder.name) & (F.col("embVersion") == embedder.version))
     q = F.array(*(F.lit(float(x)) for x in vector))
-    return top_k(index.withColumn("score", V.cosine(F.col("embedding"), q)).drop("embedding"), k, "score", "docId", "chunkIx")
+    best = top_k(index.withColumn("score", V.cosine(F.col("embedding"), q)).drop("embedding"), k, "score", "docId", "chunkIx")
+    return best.withColumn("score", V.scaled(F.col("score"))) if scaled else best
 
 
 def context_of(hits: DataFrame, config: Config | None = None) -> DataFrame:

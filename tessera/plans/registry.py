@@ -235,6 +235,11 @@ def cosine_topk(spark, d):
     return topk.top_k(_scored(spark, d, V.cosine), 5, "score", "vec_id")
 
 
+@query
+def scaled_topk(spark, d):
+    return topk.top_k(_scored(spark, d, lambda a, b: V.scaled(V.cosine(a, b))), 5, "score", "vec_id")
+
+
 @query
 def dot_topk(spark, d):
     return topk.top_k(_scored(spark, d, V.dot), 5, "score", "vec_id")

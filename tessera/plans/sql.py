@@ -91,6 +91,7 @@ FROM events GROUP BY CAST(ts AS DATE) ORDER BY CAST(ts AS DATE) DESC LIMIT 2""",
     "l2_normalize": f"""WITH {V}, n AS (SELECT vec_id, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n, e FROM v)
 SELECT vec_id, round(n, 5) AS norm, CAST(CASE WHEN n = 0 THEN 0 ELSE 1 END AS DOUBLE) AS unit, round(CASE WHEN n = 0 THEN 0.0 ELSE e[1] / n END, 5) AS first FROM n""",
     "cosine_topk": f"WITH {SCORED} SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 5",
+    "scaled_topk": f"WITH {V} SELECT v.vec_id, round((1 + list_cosine_similarity(v.e, q.e)) / 2, 6) AS score FROM v, (SELECT e FROM v WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 5",
     "dot_topk": f"WITH {V} SELECT v.vec_id, round(list_inner_product(v.e, q.e), 6) AS score FROM v, (SELECT e FROM v WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 5",
     "knn_all_pairs": f"WITH {KNN} SELECT query_id, vec_id, round(raw, 6) AS score, rank FROM k",
     "topk_sharded": f"WITH {SCORED}, b AS (SELECT vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id % 8 ORDER BY score DESC, vec_id) <= 5), m AS (SELECT * FROM b ORDER BY score DESC, vec_id DESC LIMIT 5) SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM m",

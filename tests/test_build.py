@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import schemas
+from tessera.config import Config
 from tessera.models import HashingEmbedder, ModelError, StubChat
 from tessera.plans.build import build
-from tessera.plans.query import answer, load_index
+from tessera.plans.query import answer, load_index, search
 from tessera.sources.store import Store
 
 A = "The first text speaks of rivers and lakes. " * 30
@@ -109,6 +110,24 @@ def test_index_must_exist(spark, tmp_path):
         load_index(spark, root=f"file://{tmp_path}/none")
 
 
+def test_index_of_the_configured_path(spark, root):
+    s = Store(spark, root)
+    s.replace(schemas.empty(spark, schemas.INDEX), "elsewhere")
+    there, missing = Config(index_path=s.path("elsewhere")), Config(index_path=s.path("nowhere"))
+    assert load_index(spark, config=there).columns == [f.split()[0] for f in schemas.INDEX.split(", ")]
+    with pytest.raises(FileNotFoundError):
+        load_index(spark, config=missing)
+
+
+def test_skipped_are_counted_and_scores_scaled(spark, root):
+    rows = [("a", 1, 0, ("Rivers run through the valley and reach the sea. " * 5).encode()), ("b", 1, 0, b"  ")]
+    m = build(spark, spark.createDataFrame(rows, "uri string, length long, mtime long, content binary"), root, E)
+    assert (m["numDocsScanned"], m["numChangedDocs"], m["numSkippedDocs"]) == (2, 1, 1)
+    i, v = load_index(spark, root=root), E.embed(["rivers of the valley"])[0]
+    plain, scaled = search(i, v, 1, E).first().score, search(i, v, 1, E, scaled=True).first().score
+    assert scaled == pytest.approx((1 + plain) / 2)
+
+
 def test_swap_may_read_what_it_replaces(spark, root):
     s = Store(spark, root)
     s.replace(spark.createDataFrame([(1,), (2,)], "n int"), "t")

@@ -58,6 +58,11 @@ def test_ids(spark):
     assert one(spark, "u", ids.doc_id) == hashlib.sha256(b"u").hexdigest()
     r = spark.range(1).select(ids.chunk_id(F.lit("d"), F.lit(1), F.lit(2), F.lit("h")).alias("y")).first().y
     assert r == hashlib.sha256(b"d:1:2:h").hexdigest()
+    import xxhash
+
+    for k in ("u", "", "é" * 40):
+        h = xxhash.xxh64_intdigest(k.encode(), seed=42)
+        assert one(spark, k, lambda c: ids.shard(c, 60)) == (h - (h >> 63 << 64)) % 60
     assert one(spark, "/root/a/b.txt", lambda c: ids.relative_uri(c, "/root")) == "a/b.txt"
 
 

@@ -100,6 +100,11 @@ def test_html():
     assert html_text("<head><title>t</title></head><p>a &amp; b<br>c</p><script>x</script><div>d  e</div>") == "a & b\nc\nd e"
 
 
+def test_config_in_the_session(spark):
+    Config(top_k=7, index_path="file:///x").export(spark)
+    assert (spark.conf.get("tessera.top_k"), spark.conf.get("tessera.index_path")) == ("7", "file:///x")
+
+
 def test_config(tmp_path):
     assert Config().overlap == 108
     f = tmp_path / "c.json"
