@@ -12,6 +12,7 @@ from tessera.config import Config
 from tessera.functions.text import PUNCTUATION
 
 PIECES = "array<struct<ix:int,start:int,end:int,text:string>>"
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 _PAGE = re.compile(r"[^a-zA-Z0-9]*[0-9]{1,4}[^a-zA-Z0-9]*\Z")
 
 
@@ -40,13 +41,23 @@ class Sentences:
         self.c, self.compat = config or Config(), compat
         usual = PUNCTUATION.replace("\\", "") + "\\"
         self._usual = frozenset(usual)
+        ascii = [chr(i) for i in range(128)]
+        self._letters = "".join(filter(str.isalpha, ascii)).encode()
+        self._plain = "".join(filter(self.plain, ascii)).encode()
+
+    def plain(self, x: str) -> bool:
+        """Whether a character is a letter, a digit, a blank or usual punctuation."""
+        return x.isalpha() or x.isdecimal() or x.isspace() or x in self._usual
 
     def junk(self, t: str) -> bool:
         n = len(t)
         if n < self.c.min_chars:
             return True
-        letters = sum(map(str.isalpha, t))
-        odd = sum(not (x.isalpha() or x.isdecimal() or x.isspace() or x in self._usual) for x in t)
+        # ASCII is counted by what is left when a class is taken out; other characters one by one.
+        usual = t.encode("ascii", "ignore")
+        others = _NOT_ASCII.findall(t) if len(usual) < n else ()
+        letters = len(usual) - len(usual.translate(None, self._letters)) + sum(map(str.isalpha, others))
+        odd = len(usual.translate(None, self._plain)) + sum(not self.plain(x) for x in others)
         return letters / n < self.c.min_alpha or odd / n > self.c.max_symbols or _PAGE.match(t) is not None
 
     def split(self, text: str) -> list[dict]:

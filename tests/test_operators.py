@@ -27,6 +27,14 @@ def test_sentence_chunks(text, kept):
     assert all(p["text"] == text[p["start"] : p["end"]] for p in found)
 
 
+def test_junk_counts_characters_of_any_script():
+    c, rng = Sentences(), random.Random(5)
+    for _ in range(2000):
+        t = "".join(rng.choice("aZ9 .,$^~_\x1c\u00a0\u00e9\u4e2d\u00b2\u2013\u0663\u20ac") for _ in range(rng.randint(80, 120))) + rng.choice(("", "abc" * 30))
+        letters, odd = sum(x.isalpha() for x in t), sum(not c.plain(x) for x in t)
+        assert c.junk(t) == (letters / len(t) < 0.45 or odd / len(t) > 0.55)
+
+
 def test_sentences_of_a_paragraph():
     t = ("The quick brown fox jumps over lazy dogs and cats. " * 100).strip()
     assert [(p["ix"], p["start"], p["end"]) for p in Sentences().split(t)] == [(0, 0, 866), (1, 759, 1631), (2, 1524, 2396), (3, 2289, 3161), (4, 3054, 3926), (5, 3819, 4691), (6, 4584, 5099)]
