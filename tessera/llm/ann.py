@@ -6,16 +6,21 @@ crowded clusters, which assignment pays too, so that lists come out even. Every
 best list and, at boundaries, in up to COPIES lists whose centroids are nearly as near (COPY_RATIO).
 Lists above SEGMENT rows are cut into segments that are searched each.
 Queries find lists by best-first search of a neighbour graph of the centroids, as far as those at `ratio`
-times the nearest one's distance; the ratio is the smallest that reaches `recall` on queries of the
-sample. Lists are scanned in full; of what they give, SPARE more than asked for are measured again, each
-pair by one sum in the same order, so that ties are ties.
+times the nearest one's distance; the ratio is the smallest that reaches `recall` on vectors of the
+sample that the centroids were not fitted on.
+
+The lists are written once, a row for each segment, to the shared folder. Queries are dealt into blocks of
+near ones, and a block's task reads the lists that any of its queries chose, one after the other, and keeps
+the best ids of each query: neither queries nor hits are shuffled by list, so that what is written grows
+with the vectors alone. Lists are scanned in full, in single precision; what may be among the best by its
+error bound is measured at once in double precision, each pair by one sum in the same order, so that
+ties are ties.
 
 Equal vectors are one entry with their K + 1 smallest ids; that is enough for every answer.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,42 +28,47 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import shared_dir, table
 
-K, SAMPLE, MOST_LISTS, LIST_ROWS, SEGMENT, COPIES, COPY_RATIO, DEGREE, SPARE = 20, 32_768, 4096, 256, 4096, 3, 1.025, 16, 10
+K, SAMPLE, MOST_LISTS, LIST_ROWS, SEGMENT, COPIES, COPY_RATIO, DEGREE = 20, 32_768, 4096, 256, 4096, 3, 1.025, 16
+#: Queries that a task answers at a time, scores of a list that it has at a time, hits that it gathers before they are merged.
+QUERIES, SCORES, HITS = 4096, 1 << 22, 1 << 17
+#: Vectors with many copies that a task merges over its batches.
+MERGED = 1024
 
 
 def _matrix(column, dim: int, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, dim).astype(np.float64)
 
 
-def entries(vectors: DataFrame, dim: int, dtype: str, k: int, query_every: int) -> DataFrame:
-    """(v, ids, query): the different valid vectors as bytes, their k + 1 smallest ids, whether one is a query."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            rows = _valid(b, dim, dtype)
-            if rows is None:
-                continue
-            ids, x = rows
-            packed = np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * dim))).ravel()
-            order = np.argsort(ids, kind="stable")
-            _, inverse = np.unique(packed[order], return_inverse=True)
-            by = np.argsort(inverse, kind="stable")  # within a vector still by id
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(inverse[by]) > 0, [True]]))
-            ids, packed = ids[order][by], packed[order][by]
-            groups = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([packed[i].tobytes() for i, _ in groups], pa.binary()), pa.array([ids[i : min(j, i + k + 1)] for i, j in groups], pa.list_(pa.int64())), pa.array([bool((ids[i:j] % query_every == 0).any()) for i, j in groups])],
-                names=["v", "ids", "query"],
-            )
-
-    few = F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")
-    parts = vectors.mapInArrow(run, "v binary, ids array<long>, query boolean").withColumn("_salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(32)))
-    parts = parts.groupBy("v", "_salt").agg(few, F.bool_or("query").alias("query"))
-    return parts.groupBy("v").agg(few, F.bool_or("query").alias("query")).select(F.col("ids")[0].alias("vid"), "v", "ids", "query")
+def _distinct(batches: Iterator, dim: int, dtype: str, k: int) -> Iterator[list[tuple[bytes, np.ndarray]]]:
+    """(vector, its k + 1 smallest ids) of each batch's valid rows; those with more copies are merged over batches."""
+    many: dict[bytes, np.ndarray] = {}
+    for b in batches:
+        rows = _valid(b, dim, dtype)
+        if rows is None:
+            continue
+        ids, x = rows
+        packed = _packed(x)
+        order = np.argsort(ids, kind="stable")
+        _, inverse = np.unique(packed[order], return_inverse=True)
+        by = np.argsort(inverse, kind="stable")  # within a vector still by id
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(inverse[by]) > 0, [True]]))
+        ids, packed = ids[order][by], packed[order][by]
+        out = []
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            v, own = packed[i].tobytes(), np.unique(ids[i:j])[: k + 1]
+            if v in many or (j - i > k and len(many) < MERGED):
+                many[v] = np.union1d(many.get(v, own), own)[: k + 1]
+            else:
+                out.append((v, own))
+        yield out
+    yield list(many.items())
+
+
+def _packed(x: np.ndarray) -> np.ndarray:
+    """Each row as one value of bytes."""
+    return np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel()
 
 
 def _valid(batch, dim: int, dtype: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -96,10 +106,17 @@ class Index:
     ratio: float = 1.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, lists: int, top: float, k: int, recall: float, seed: int = 5) -> Index:
+    def fit(cls, x: np.ndarray, lists: int, top: float, k: int, recall: float, seed: int = 5, of: int | None = None) -> Index:
+        """x: a sample of `of` vectors (those alone, if not given)."""
         rng = np.random.default_rng(seed)
         index = cls(np.zeros((0, 0)), np.zeros((0, 0), np.int64), top, np.zeros(lists))
-        a = index.augment(x)
+        x, rows = rng.permutation(x), len(x)
+        of = max(of or 0, rows)
+        # A quarter has no part in the centroids: its vectors lie to them as those do that the sample lacks. It is
+        # joined by as many of the others as there are of such among all.
+        out = rows // 4 if rows // 4 > 1 and rows - rows // 4 >= lists else 0
+        a = index.augment(x[out:])
+        x = x[: out + round(out * (rows - out) / (of - rows + out))] if out else x
         c = a[rng.choice(len(a), lists, replace=False)]
         even = len(a) / lists
         for _ in range(8):
@@ -120,11 +137,12 @@ class Index:
         # A ring besides the neighbours keeps the graph in one piece.
         ring = np.stack([(np.arange(lists) + 1) % lists, (np.arange(lists) - 1) % lists], 1)
         index.graph = np.concatenate([near, ring], 1)
-        # Queries of the sample: at which ratio are the lists of their true neighbours reached?
-        q = rng.choice(len(x), min(256, len(x)), replace=False)
+        # Queries of the sample: at which ratio are the lists of their true neighbours reached? Among fewer
+        # vectors fewer are as near as the k nearest of all; twice as many are asked for, to be on the safe side.
+        q = rng.choice(len(x), min(1024, len(x)), replace=False)
         s = x[q] @ x.T
         s[np.arange(len(q)), q] = -np.inf
-        k = min(k, len(x) - 1)
+        k = min(k, len(x) - 1, max(1, round(2 * k * len(x) / of)))
         if k < 1:
             return index
         true = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -148,7 +166,8 @@ class Index:
             d = _distance(a, self.centroids)
             rows = np.arange(len(a))
             out[i : i + 2048, 0] = first = (d**2 + self.price).argmin(1)
-            order = np.argsort(d, 1)[:, : 3 * COPIES]
+            order = np.argpartition(d, 3 * COPIES, 1)[:, : 3 * COPIES] if d.shape[1] > 3 * COPIES else np.tile(np.arange(d.shape[1]), (len(a), 1))
+            order = np.take_along_axis(order, np.argsort(np.take_along_axis(d, order, 1), 1), 1)
             limit = self.copy_ratio * d[rows, first]
             taken = np.ones(len(a), np.int64)
             for r in range(order.shape[1]):
@@ -198,12 +217,90 @@ class Index:
 CELL = 1 << 24
 
 
+class Answers:
+    """The best ids found so far for the different vectors of a block of queries, exactly measured."""
+
+    def __init__(self, queries: np.ndarray, top: float, most: int):
+        self.q, self.top, self.most = queries, top, most
+        self.norm = np.linalg.norm(queries, axis=1)
+        self.small = (queries / self.norm[:, None]).astype(np.float32)
+        #: what a score of scaled vectors may be off in single precision
+        self.off = (queries.shape[1] + 8) * 2.0**-23
+        self.score = np.full((len(queries), most), -np.inf)
+        self.id = np.full((len(queries), most), np.iinfo(np.int64).max)
+        self.hits: list = []
+        self.waiting = 0
+
+    def scan(self, who: np.ndarray, base: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Measure the vectors `base`, which are all different, for the queries `who`."""
+        small, first = (base / self.top).astype(np.float32), np.cumsum(counts) - counts
+        step = max(1, SCORES // len(base))
+        for i in range(0, len(who), step):
+            w = who[i : i + step]
+            s = self.small[w] @ small.T
+            least = self.score[w, -1] / (self.norm[w] * self.top) - self.off
+            new = np.flatnonzero(np.isneginf(least))
+            if len(new) and len(base) > self.most:
+                least[new] = np.partition(s[new], len(base) - self.most, axis=1)[:, len(base) - self.most] - 2 * self.off
+            # the bound is rounded down, by far less than `off`
+            r, c = np.nonzero(s >= least.astype(np.float32)[:, None])
+            for j in range(0, len(r), HITS):
+                a, b = w[r[j : j + HITS]], c[j : j + HITS]
+                exact, n = (self.q[a] * base[b]).sum(1), counts[b]
+                ends = np.cumsum(n)
+                at = np.repeat(first[b] - ends + n, n) + np.arange(ends[-1])
+                self.hits.append((np.repeat(a, n), np.repeat(exact, n), ids[at]))
+                self.waiting += len(at)
+                if self.waiting >= HITS:
+                    self.merge()
+
+    def merge(self) -> None:
+        if not self.hits:
+            return
+        q, s, i = (np.concatenate(x) for x in zip(*self.hits, strict=True))
+        self.hits, self.waiting = [], 0
+        own = np.unique(q)
+        q = np.concatenate([q, np.repeat(own, self.most)])
+        s, i = np.concatenate([s, self.score[own].ravel()]), np.concatenate([i, self.id[own].ravel()])
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        # a vector that stands in several lists counts once
+        new = np.concatenate([[True], (q[1:] != q[:-1]) | (s[1:] != s[:-1]) | (i[1:] != i[:-1])])
+        q, s, i = q[new], s[new], i[new]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < self.most
+        self.score[own], self.id[own] = -np.inf, np.iinfo(np.int64).max
+        self.score[q[keep], rank[keep]], self.id[q[keep], rank[keep]] = s[keep], i[keep]
+
+
+def _lists(root: str, wanted: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """(list, vectors, ids, how many ids each vector has) of the index at `root`: all segments of the wanted lists."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(root)
+    wanted = np.sort(wanted)
+    for name in sorted(f.path for f in where.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet")):
+        with where.open_input_file(name) as opened:
+            f = pq.ParquetFile(opened)
+            at = f.schema_arrow.get_field_index("list")
+            for g in range(f.num_row_groups):
+                x = f.metadata.row_group(g).column(at).statistics
+                if x is not None and x.has_min_max and np.searchsorted(wanted, x.min) == np.searchsorted(wanted, x.max, "right"):
+                    continue
+                t = f.read_row_group(g, use_threads=False)
+                of = t["list"].to_numpy()
+                for r in np.flatnonzero(np.isin(of, wanted)).tolist():
+                    yield int(of[r]), t["v"][r].as_py(), t["ids"][r].values.to_numpy(), t["counts"][r].values.to_numpy()
+
+
 def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float = 0.95, list_rows: int = LIST_ROWS, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows found nearest to each row whose id is a multiple of query_every.
 
     Vectors that are null, zero, of another length than most or hold null or non-finite components, and
     rows with a null id, take no part. Equal scores rank by id; equal vectors are candidates each, and a
     row is never its own. Rows that repeat an id with one vector count once. Other columns are not read.
+    The index is written through Spark and read through pyarrow's file systems (file, hdfs, s3 ...).
     """
     spark = vectors.sparkSession
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
@@ -213,133 +310,135 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float
     if sizes is None:
         return spark.createDataFrame([], schema)
     dim = sizes.dim
-    e = written(entries(t, dim, kind, k, query_every), "vectors")
-    n = e.count()
-    if n == 0:
-        return spark.createDataFrame([], schema)
 
-    def norms(batches: Iterator) -> Iterator:
+    def measured(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(_matrix(b.column(0), dim, kind), axis=1).max(initial=0))])], names=["m"])
-
-    top = e.select("v").mapInArrow(norms, "m double").agg(F.max("m")).first()[0]
-    part = e if n <= sample else e.where(F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    drawn = part.select("vid", "v").limit(2 * sample).toArrow().sort_by("vid")
-    x = _matrix(drawn["v"], dim, kind)
-    lists = max(1, min(MOST_LISTS, n // list_rows, len(x) // 8))
-    index = Index.fit(x, lists, top, k, recall)
+            rows = _valid(b, dim, kind)
+            if rows is not None:
+                ids, x = rows
+                yield pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([int((ids % query_every == 0).sum())]), pa.array([float(np.linalg.norm(x.astype(np.float64), axis=1).max())])], names=["n", "q", "m"])
+
+    n, asking, top = t.mapInArrow(measured, "n long, q long, m double").agg(F.sum("n"), F.sum("q"), F.max("m")).first()
+    if not asking:
+        return spark.createDataFrame([], schema)
+    part = t if n <= sample else t.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    drawn = part.where(F.size("x") == dim).limit(2 * sample).toArrow()
+    drawn = [rows[1] for b in drawn.combine_chunks().to_batches() if (rows := _valid(b, dim, kind)) is not None]
+    drawn = np.concatenate(drawn) if drawn else np.ones((1, dim), kind)
+    x = np.unique(_packed(drawn)).view(kind).reshape(-1, dim).astype(np.float64)
+    different = n * len(x) // len(drawn)
+    lists = max(1, min(MOST_LISTS, different // list_rows, len(x) // 8))
+    index = Index.fit(x, lists, top, k, recall, of=different)
+    at = index.assign(x)
+    segments = np.maximum(1, -(-np.bincount(at[at >= 0], minlength=lists) * different // (len(x) * SEGMENT)))
     shared = spark.sparkContext.broadcast(index)  # MOST_LISTS * (dim + 1 + DEGREE + 2) * 8 bytes at most
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
+
+        for found in _distinct(batches, dim, kind, k):
+            for i in range(0, len(found), 4096):
+                some = found[i : i + 4096]
+                of = shared.value.assign(np.frombuffer(b"".join(v for v, _ in some), kind).reshape(-1, dim).astype(np.float64))
+                r, c = np.nonzero(of >= 0)
+                of = of[r, c]
+                cell = of * CELL
+                for j in np.flatnonzero(segments[of] > 1).tolist():
+                    cell[j] += xxhash.xxh64_intdigest(some[r[j]][0]) % int(segments[of[j]])
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array([some[j][0] for j in r.tolist()], pa.binary()), pa.array([some[j][1] for j in r.tolist()], pa.list_(pa.int64()))], names=["cell", "v", "ids"])
+
+    def gather(batches: Iterator) -> Iterator:
+        """Rows in order of cell and vector: a row for each cell, or for so many of its vectors."""
+        cell, vs, ids = None, [], []
+
+        def row():
+            own = [np.unique(np.concatenate(i))[: k + 1] if len(i) > 1 else i[0] for i in ids]
+            return cell // CELL, b"".join(vs), np.concatenate(own), np.array([len(i) for i in own], np.int32)
 
-        for b in batches:
-            got = shared.value.assign(_matrix(b.column(1), dim, kind))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[r >= 0] for r in got.astype(np.int64)], pa.list_(pa.int64()))], names=["vid", "v", "lists"])
-
-    posted = written(e.select("vid", "v").mapInArrow(place, "vid long, v binary, lists array<long>").select("vid", "v", F.explode("lists").alias("list")), "postings")
-    sizes = np.zeros(lists, np.int64)
-    for r in posted.groupBy("list").count().collect():  # a row per list
-        sizes[r.list] = r["count"]
-    segments = -(-sizes // SEGMENT)
-    slots = math.isqrt(int(segments.sum())) + 1  # answers of a query are merged in so many parts, then these
-    segment = F.pmod(F.xxhash64("vid"), F.element_at(F.array(*(F.lit(int(max(s, 1))) for s in segments)), (F.col("list") + 1).cast("int"))) if (segments > 1).any() else F.lit(0)
-    cells = posted.select((F.col("list") * CELL + segment).alias("cell"), F.lit(0).alias("kind"), F.array("vid").alias("ids"), "v")
-
-    def ask(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            ids, v = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for i in range(0, len(ids), 512):
-                chosen = shared.value.lists(_matrix(b.column(1).slice(i, 512), dim, kind), sizes=sizes, least=(k + 1) * COPIES)
-                rows = []
-                for c in np.flatnonzero(chosen.any(0)).tolist():
-                    who = np.flatnonzero(chosen[:, c]) + i
-                    packed = b"".join([v[w] for w in who.tolist()])
-                    rows += [(c * CELL + s, 1, ids[who], packed) for s in range(int(segments[c]))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())], names=["cell", "kind", "ids", "v"])
-
-    asked = e.where("query").select("vid", "v").mapInArrow(ask, "cell long, kind int, ids array<long>, v binary")
-
-    def scan(batches: Iterator) -> Iterator:
-        """Rows by cell, its vectors first: they are kept, and each row of queries is answered from them."""
-        import pyarrow as pa
-
-        cell, ids, rows, base = None, [], [], None
         for b in batches:
             out = []
-            for at, kind_, who, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if at != cell:
-                    cell, ids, rows, base = at, [], [], None
-                if kind_ == 0:
-                    ids += who
-                    rows.append(v)
+            lists = b.column(2)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for j, (c, v) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                own = flat[ends[j] : ends[j + 1]]
+                if c == cell and v == vs[-1]:
+                    ids[-1].append(own)
+                    if len(ids[-1]) >= 1024:
+                        ids[-1] = [np.unique(np.concatenate(ids[-1]))[: k + 1]]
                     continue
-                if base is None:
-                    base = np.frombuffer(b"".join(rows), kind).reshape(-1, dim).astype(np.float64)
-                    ids = np.array(ids, np.int64)
-                if not len(base):
-                    continue
-                s = np.frombuffer(v, kind).reshape(-1, dim).astype(np.float64) @ base.T
-                m = min(k + 1 + SPARE, len(base))
-                if m < len(base):
-                    # at equal scores the smaller ids: all of them above or at the m-th score, then in order
-                    least = np.partition(s, len(base) - m, axis=1)[:, len(base) - m]
-                for r, q in enumerate(who):
-                    take = np.flatnonzero(s[r] >= least[r]) if m < len(base) else np.arange(len(base))
-                    take = take[np.lexsort((ids[take], -s[r][take]))][:m]
-                    out.append((q, (at // CELL + at % CELL) % slots, ids[take], s[r][take]))
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(types)], names=["q", "slot", "ids", "scores"])
-
-    found = cells.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(scan, "q long, slot long, ids array<long>, scores array<double>")
-
-    def best(batches: Iterator) -> Iterator:
-        """q, lists of ids and scores -> the best of them, each id once."""
+                if vs and (c != cell or len(vs) >= 2 * SEGMENT):
+                    out.append(row())
+                    vs, ids = [], []
+                cell = c
+                vs.append(v)
+                ids.append([own])
+            yield of_rows(out)
+        if vs:
+            yield of_rows([row()])
+
+    def of_rows(rows: list):
         import pyarrow as pa
 
-        for b in batches:
-            out = []
-            for q, ids, scores in zip(b.column(0).to_pylist(), *(c.to_pylist() for c in b.columns[1:]), strict=True):
-                i, s = np.concatenate([np.array(x, np.int64) for x in ids]), np.concatenate([np.array(x) for x in scores])
-                order = np.lexsort((i, -s))
-                _, first = np.unique(i[order], return_index=True)  # a vector that stands in several lists
-                pick = order[np.sort(first)[: k + 1 + SPARE]]
-                out.append((q, i[pick], s[pick]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))], names=["q", "ids", "scores"])
-
-    def measure(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        types = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind_) for j, kind_ in enumerate(types)], names=["list", "v", "ids", "counts"])
 
-        for b in batches:
-            score = (_matrix(b.column(2), dim, kind) * _matrix(b.column(3), dim, kind)).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["q", "vid", "score"])
-
-    both = F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores")
-    hits = found.groupBy("q", "slot").agg(*both).select("q", "ids", "scores").mapInArrow(best, "q long, ids array<long>, scores array<double>")
-    hits = hits.groupBy("q").agg(*both).mapInArrow(best, "q long, ids array<long>, scores array<double>").select("q", F.explode("ids").alias("vid"))
-    pairs = hits.join(e.select(F.col("vid").alias("q"), F.col("v").alias("a")), "q").join(e.select("vid", F.col("v").alias("b")), "vid")
-    scored = pairs.select("q", "vid", "a", "b").mapInArrow(measure, "q long, vid long, score double")
-    each = scored.join(e.select("vid", "ids"), "vid").select("q", "score", F.explode("ids").alias("id"))
-    answer = each.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k + 1).alias("hits"))
-
-    def raw(batches: Iterator) -> Iterator:
+    root = shared_dir(spark, "postings")
+    placed = t.mapInArrow(place, "cell long, v binary, ids array<long>").repartition("cell").sortWithinPartitions("cell", "v")
+    posted = placed.mapInArrow(gather, "list long, v binary, ids array<long>, counts array<int>")
+    posted.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").parquet(root)
+    held = np.zeros(lists, np.int64)
+    for r in spark.read.parquet(root).groupBy("list").agg(F.sum(F.size("counts")).alias("n")).collect():  # a row per list
+        held[r.list] = r.n
+
+    def ask(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             rows = _valid(b, dim, kind)
             if rows is not None:
                 ids, x = rows
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary())], names=["query_id", "v"])
+                near = _distance(shared.value.queries(x.astype(np.float64)), shared.value.centroids).argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64()), pa.array(ids), pa.array([v.tobytes() for v in x], pa.binary())], names=["near", "query_id", "v"])
+
+    def answer(ids: np.ndarray, v: list[bytes]):
+        import pyarrow as pa
 
-    asking = t.where(F.pmod("id", F.lit(query_every)) == 0).mapInArrow(raw, "query_id long, v binary").distinct()
-    asking = asking.join(e.select("vid", "v"), "v").select("query_id", F.col("vid").alias("q"))
-    mine = F.slice(F.filter("hits", lambda h: h["id"] != F.col("query_id")), 1, k)
-    out = asking.join(answer, "q").select("query_id", F.posexplode(mine).alias("pos", "h"))
-    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("h.id").alias("vec_id"), (-F.col("h.s")).alias("score"))
+        packed, of = np.unique(_packed(np.frombuffer(b"".join(v), kind).reshape(-1, dim)), return_inverse=True)
+        ids, of = np.unique(np.stack([ids, of]), axis=1)  # rows that are repeated
+        q = packed.view(kind).reshape(-1, dim).astype(np.float64)
+        beam = max(8, lists // 64)
+        chosen = np.concatenate([shared.value.lists(q[i : i + 128], beam, held, (k + 1) * COPIES) for i in range(0, len(q), 128)])
+        best = Answers(q, top, k + 1)
+        for c, vs, own, counts in _lists(root, np.flatnonzero(chosen.any(0))):
+            best.scan(np.flatnonzero(chosen[:, c]), np.frombuffer(vs, kind).reshape(-1, dim).astype(np.float64), own, counts)
+        best.merge()
+        other = (best.id[of] != ids[:, None]) & np.isfinite(best.score[of])
+        rank = np.cumsum(other, 1)
+        r, c = np.nonzero(other & (rank <= k))
+        return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(rank[r, c], pa.int32()), pa.array(best.id[of][r, c]), pa.array(best.score[of][r, c])], names=["query_id", "rank", "vec_id", "score"])
+
+    def search(batches: Iterator) -> Iterator:
+        ids, v, n = [], [], 0
+        for b in batches:
+            i = 0
+            while i < b.num_rows:
+                part = b.slice(i, QUERIES - n)
+                i += part.num_rows
+                ids.append(part.column(1).to_numpy())
+                v += part.column(2).to_pylist()
+                n += part.num_rows
+                if n == QUERIES:
+                    yield answer(np.concatenate(ids), v)
+                    ids, v, n = [], [], 0
+        if n:
+            yield answer(np.concatenate(ids), v)
+
+    blocks = max(-(-asking // QUERIES), min(2 * spark.sparkContext.defaultParallelism, -(-asking // 256)))
+    asked = t.where(F.pmod("id", F.lit(query_every)) == 0).mapInArrow(ask, "near long, query_id long, v binary")
+    return asked.repartitionByRange(blocks, "near", F.xxhash64("query_id")).select("near", "query_id", "v").mapInArrow(search, schema)
 
 
 def op1_posting_lists(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pathlib
+
 import numpy as np
 import pytest
 
@@ -90,3 +92,34 @@ def test_boundary_vectors_are_replicated_and_lists_pruned(kind):
     found = [np.isin(t, np.flatnonzero(np.isin(at, np.flatnonzero(row)).any(1))).mean() for t, row in zip(true, i.lists(x[::20]), strict=True)]
     print(kind, copies, scanned, np.mean(found))
     assert np.mean(found) >= 0.9
+
+
+def written(spark):
+    """Bytes of all shuffles so far, and of what is in the shared folder."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size())) + sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+
+
+def test_what_is_written_grows_with_the_vectors_alone(spark):
+    """However many lists a query searches, neither it nor its hits are written for each of them."""
+    rows, before = vectors(20_000), written(spark)
+    assert len(run(spark, rows, list_rows=16)) == 20 * 1000
+    assert written(spark) - before < 10 * 20_000 * 16 * 4
+
+
+def test_answers_against_a_sort(monkeypatch):
+    monkeypatch.setattr(ann, "HITS", 50)
+    monkeypatch.setattr(ann, "SCORES", 100)
+    rng = np.random.default_rng(8)
+    x = np.unique(rng.integers(-3, 4, (400, 3)).astype(float), axis=0)  # many equal scores
+    x = x[np.abs(x).sum(1) > 0]
+    ids = rng.permutation(3 * len(x)).reshape(-1, 3)
+    best = ann.Answers(x[::9], float(np.linalg.norm(x, axis=1).max()), 7)
+    for part in (slice(0, 90), slice(60, 120), slice(100, None), slice(0, 5)):  # boundary vectors stand in several lists
+        best.scan(np.arange(len(x[::9])), x[part], ids[part].ravel(), np.full(len(x[part]), 3))
+    best.merge()
+    for q, got, score in zip(x[::9], best.id, best.score, strict=True):
+        s = np.repeat(x @ q, 3)
+        order = np.lexsort((ids.ravel(), -s))[:7]
+        assert got.tolist() == ids.ravel()[order].tolist() and score.tolist() == s[order].tolist()
