@@ -1,9 +1,12 @@
-"""Groups at an exact set similarity of shingle sets: MinHash look-up, exact Jaccard of what it finds.
+"""Groups at an exact set similarity of shingle sets: SimHash by pigeonring, then MinHash for the rest, exact Jaccard of what they find.
 
-The sets hold different shingles; how often one is repeated doesn't count. Of each set MinHashes are
-taken, ROWS to a key: sets of the Jaccard similarity s share a key with the chance s ** ROWS, and there
+The sets hold different shingles; how often one is repeated doesn't count. Each set has op5's fingerprint,
+and those at most two bits apart, which op5's pigeonring filter finds all, are the first candidates.
+Similarity down to the radius goes further than two bits (right at 0.8 some ten of 64 differ, where no
+filter of fingerprints is selective), so the sets that they leave apart are looked up by MinHashes,
+ROWS to a key: sets of the Jaccard similarity s share a key with the chance s ** ROWS, and there
 are as many keys as reach `recall` for pairs right at the radius, and more for nearer ones. Nothing is
-linked by keys alone: each link has the exact Jaccard similarity of its two sets behind it.
+linked by fingerprints or keys alone: each link has the exact Jaccard similarity of its two sets behind it.
 
 Every two members of a key's bucket are compared unless they are in one group already. Two rounds of
 comparisons with one member (linear in the bucket; the one that shares most keys with others, as the
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import mix, tidy, utf8, written
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import fingerprint, shingle_hashes
+from .simhash import links as ring_links
 
 ROWS = 5
 #: Members and shingles of a block, about.
@@ -77,30 +81,41 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, re
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                nodes, keys, briefs = [], [], []
+                nodes, fps, keys, briefs = [], [], [], []
                 for t in utf8(part.column(2)):
                     s = shingle_set(t, shingle_words)
                     least = minhashes(s, tables * ROWS)
                     nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
+                    fps.append(fingerprint(s))
                     keys.append(band_keys(least))
                     briefs.append(least.astype(np.uint8).tobytes())
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 found = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * tables), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), found, pa.array(briefs, pa.binary())], names=["doc_id", "rid", "node", "keys", "brief"])
+                hashes = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *hashes, found, pa.array(briefs, pa.binary())], names=["doc_id", "rid", "node", "fp", "keys", "brief"])
 
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
-    d = written(t.mapInArrow(tidy(prints), "doc_id long, rid long, node long, keys array<long>, brief binary"), "minhashes")
+    d = written(t.mapInArrow(tidy(prints), "doc_id long, rid long, node long, fp long, keys array<long>, brief binary"), "minhashes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
-    nodes = written(d.groupBy("node").agg(F.first(F.struct("keys", "brief")).alias("x"), least).select("node", "x.*", "least"), "sets")
-    roots = components(_links(nodes, t, similarity, shingle_words))
+    nodes = written(d.groupBy("node").agg(F.first(F.struct("fp", "keys", "brief")).alias("x"), least).select("node", "x.*", "least"), "sets")
+    roots = components(_links(nodes, t, similarity, shingle_words, by_fingerprint(nodes.select("node", "fp"))))
     of = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = of.groupBy("root").agg(F.min("least").alias("first"))
     kept = of.join(first, "root").select("node", F.col("first.rid").alias("first"))
     return d.select("rid", "node").distinct().join(kept, "node").select("rid", (F.col("rid") == F.col("first")).alias("keep"))
 
 
-def _links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """(u, v): similar sets, as many pairs as connect each group."""
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(node, fp) -> (u, v): as many pairs as connect all sets whose fingerprints the pigeonring filter links, or are equal."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fps")
+    same = nodes.join(least, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    a, b = (least.select(F.col("fp").alias(f"fp_{x}"), F.col("first").alias(x)) for x in "uv")
+    near = ring_links(least.select("fp")).select(F.col("u").alias("fp_u"), F.col("v").alias("fp_v")).distinct()
+    return written(same.unionByName(near.join(a, "fp_u").join(b, "fp_v").select("u", "v")).where("u <> v"), "near")
+
+
+def _links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle_words: int, near: DataFrame | None = None) -> DataFrame:
+    """(u, v): similar sets, as many pairs as connect each group. near: pairs (u, v) that are compared first."""
 
     def shingles(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -115,15 +130,16 @@ def _links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle_words:
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     several = written(rows.join(shared, "key"), "buckets")
     degree = several.groupBy("node").agg(F.sum("n").alias("degree"))
-    buckets = several.drop("n").join(degree, "node")
-    pivots = buckets.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("pivot"))
-    buckets = written(buckets.join(pivots, "key"), "buckets")
-    chosen = nodes.select("node", F.col("least.rid").alias("rid")).join(degree.select("node"), "node", "left_semi")
+    near = texts.sparkSession.createDataFrame([], "u long, v long") if near is None else near
+    some = degree.select("node").unionByName(near.select(F.explode(F.array("u", "v")).alias("node")))
+    chosen = nodes.select("node", F.col("least.rid").alias("rid")).join(some, "node", "left_semi")
     found = texts.select("rid", "text").join(chosen, "rid").dropDuplicates(["node"]).select("node", "text")
     sets = written(found.mapInArrow(tidy(shingles), "node long, shingles_n int, shingles array<long>"), "shingles")
 
-    first = buckets.where("node <> pivot.node").groupBy("node").agg(F.max("pivot").alias("pivot"))
-    links = written(exact(first.select(F.col("node").alias("u"), F.col("pivot.node").alias("v")), sets, similarity), "links")
+    links = written(exact(near, sets, similarity), "links")
+    buckets = several_groups(several.drop("n").join(degree, "node"), links)
+    first = buckets.where("root <> pivot.root").groupBy("node").agg(F.max("pivot").alias("pivot"))
+    links = links.unionByName(written(exact(first.select(F.col("node").alias("u"), F.col("pivot.node").alias("v")), sets, similarity), "links"))
     buckets = several_groups(buckets.select("key", "node", "degree"), links)
     pairs = buckets.where("root <> pivot.root").select(F.col("node").alias("u"), F.col("pivot.node").alias("v")).distinct()
     links = links.unionByName(written(exact(pairs, sets, similarity), "links"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from tessera.llm import simgroups as G
+from tessera.llm.simhash import fingerprint
 
 
 def words(rng, n):
@@ -77,3 +78,29 @@ def test_a_repeated_line_makes_no_copies(spark):
     once = words(rng, 100)
     data += [(50, " ".join([*once, line])), (51, " ".join([*once, *[line] * 10]))]
     assert kept(spark, data) == brute(data) and 50 in kept(spark, data) and 51 not in kept(spark, data)
+
+
+def test_near_copies_are_linked_by_fingerprints_and_checked_exactly(spark, monkeypatch):
+    """Without any MinHash key in common, what op5's fingerprints and pigeonring filter find is linked, if it is similar."""
+    monkeypatch.setattr(G, "band_keys", lambda least: G.np.random.default_rng().integers(-(2**62), 2**62, len(least) // G.ROWS))
+    rng = random.Random(6)
+    data = []
+    for _ in range(40):
+        w = words(rng, 600)
+        data += [" ".join(w)] + [" ".join([*w[:-n], *words(rng, n)]) for n in (1, 2, 30)]
+    sets = [shingles(t) for t in data]
+    prints = [fingerprint(G.shingle_set(t.encode(), 5)) for t in data]
+
+    def least(similarity, bits):
+        root = list(range(len(data)))
+        for i in range(len(data)):
+            for j in range(i):
+                if (prints[i] ^ prints[j]).bit_count() <= bits and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and root[i] != root[j]:
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if r in (a, b) else r for r in root]
+        return set(root)
+
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {s: {r.doc_id for r in G.keep_one(docs, similarity=s).collect()} for s in (0.8, 0.995)}
+    assert len(least(0.8, 2)) < 90 and least(0.8, 64) <= got[0.8] <= least(0.8, 2)
+    assert least(0.995, 64) <= got[0.995] and got[0.8] < got[0.995] < set(range(len(data)))
