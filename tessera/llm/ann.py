@@ -6,8 +6,10 @@ crowded clusters, which assignment pays too, so that lists come out even. Every
 best list and, at boundaries, in up to COPIES lists whose centroids are nearly as near (COPY_RATIO).
 Lists above SEGMENT rows are cut into segments that are searched each.
 Queries find lists by best-first search of a neighbour graph of the centroids, as far as those at `ratio`
-times the nearest one's distance; the ratio is the smallest that reaches `recall` on vectors of the
-sample that the centroids were not fitted on.
+times the nearest one's distance; the ratio is the smallest that reaches `recall` for a sample of the
+rows that ask, which may lie elsewhere than the others, among vectors that the centroids were not fitted
+on. The search starts at centroids far from each other, as many as keep it from being caught in one
+cluster: their number is doubled until the search, measured as it is run, finds those lists.
 
 The lists are written once, a row for each segment, to the shared folder. Queries are dealt into blocks of
 near ones, and a block's task reads the lists that any of its queries chose, one after the other, and keeps
@@ -94,22 +96,29 @@ def _distance(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1), 0))
 
 
+def beam_of(lists: int) -> int:
+    return max(8, lists // 64)
+
+
 @dataclass
 class Index:
-    """What every task has: centroids, their graph, the greatest norm and the ratio. Its size has a bound."""
+    """What every task has: centroids, their graph, where its search starts, the greatest norm and the ratio. Its size has a bound."""
 
     centroids: np.ndarray
     graph: np.ndarray
     top: float
     price: np.ndarray
+    #: all lists, each one the farthest from those before it; the search starts at the first `starts`
+    entry: np.ndarray
     copy_ratio: float = COPY_RATIO
     ratio: float = 1.0
+    starts: int = 8
 
     @classmethod
-    def fit(cls, x: np.ndarray, lists: int, top: float, k: int, recall: float, seed: int = 5, of: int | None = None) -> Index:
-        """x: a sample of `of` vectors (those alone, if not given)."""
+    def fit(cls, x: np.ndarray, lists: int, top: float, k: int, recall: float, seed: int = 5, of: int | None = None, asking: np.ndarray | None = None) -> Index:
+        """x: a sample of `of` vectors (those alone, if not given); asking: a sample of the queries (else some of x)."""
         rng = np.random.default_rng(seed)
-        index = cls(np.zeros((0, 0)), np.zeros((0, 0), np.int64), top, np.zeros(lists))
+        index = cls(np.zeros((0, 0)), np.zeros((0, 0), np.int64), top, np.zeros(lists), np.arange(lists))
         x, rows = rng.permutation(x), len(x)
         of = max(of or 0, rows)
         # A quarter has no part in the centroids: its vectors lie to them as those do that the sample lacks. It is
@@ -132,24 +141,43 @@ class Index:
             index.price = np.where(empty, 0, np.maximum(index.price + 0.05 * spread * np.clip(count / even - 1, -1, 1), 0))
         index.centroids = c
         d = _distance(c, c)
+        far = d[0].copy()
+        for j in range(1, lists):
+            index.entry[j] = at = int(far.argmax())
+            far = np.minimum(far, d[at])
+            far[index.entry[: j + 1]] = -1
         np.fill_diagonal(d, np.inf)
         near = np.argsort(d, 1)[:, : min(DEGREE, lists - 1)]
         # A ring besides the neighbours keeps the graph in one piece.
         ring = np.stack([(np.arange(lists) + 1) % lists, (np.arange(lists) - 1) % lists], 1)
         index.graph = np.concatenate([near, ring], 1)
-        # Queries of the sample: at which ratio are the lists of their true neighbours reached? Among fewer
-        # vectors fewer are as near as the k nearest of all; twice as many are asked for, to be on the safe side.
-        q = rng.choice(len(x), min(1024, len(x)), replace=False)
-        s = x[q] @ x.T
-        s[np.arange(len(q)), q] = -np.inf
+        # At which ratio are the lists of the queries' true neighbours reached? Among fewer vectors fewer are
+        # as near as the k nearest of all; twice as many are asked for, to be on the safe side.
+        q = x if asking is None or not len(asking) else asking
+        q = q[rng.choice(len(q), min(1024, len(q)), replace=False)]
         k = min(k, len(x) - 1, max(1, round(2 * k * len(x) / of)))
         if k < 1:
             return index
-        true = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        d = _distance(index.queries(x[q]), c)
+        true = np.zeros((len(q), k), np.int64)
+        for i in range(0, len(q), 64):
+            s = q[i : i + 64] @ x.T
+            near, at = np.nonzero(s >= (q[i : i + 64] ** 2).sum(1)[:, None] * (1 - 1e-9))
+            same = (q[i + near] == x[at]).all(1)  # a query's own vector
+            s[near[same], at[same]] = -np.inf
+            true[i : i + 64] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        d = _distance(index.queries(q), c)
         lists_of = index.assign(x[true.ravel()])
-        reach = np.where(lists_of >= 0, np.take_along_axis(np.repeat(d, k, 0), np.maximum(lists_of, 0), 1), np.inf).min(1)
+        there, at = lists_of >= 0, np.maximum(lists_of, 0)
+        reach = np.where(there, np.take_along_axis(np.repeat(d, k, 0), at, 1), np.inf).min(1)
         index.ratio = float(np.quantile(reach / np.repeat(np.maximum(d.min(1), 1e-12), k), recall)) * (1 + 1e-9)
+        in_ratio = np.take_along_axis(np.repeat(d <= index.ratio * d.min(1)[:, None], k, 0), at, 1)
+        want = (in_ratio & there).any(1).mean()
+        beam = beam_of(lists)
+        while index.starts < lists:
+            found = np.concatenate([index.lists(q[i : i + 128], beam) for i in range(0, len(q), 128)])
+            if (np.take_along_axis(np.repeat(found, k, 0), at, 1) & there).any(1).mean() >= want - 0.002:
+                break
+            index.starts *= 2
         return index
 
     def augment(self, x: np.ndarray) -> np.ndarray:
@@ -188,7 +216,7 @@ class Index:
         n, m = len(q), len(self.centroids)
         seen = np.full((n, m), np.inf)
         done = np.zeros((n, m), bool)
-        start = np.unique(np.linspace(0, m - 1, min(8, m)).astype(int))
+        start = self.entry[: self.starts]
         seen[:, start] = _distance(q, self.centroids[start])
         rows = np.arange(n)
         beam = min(beam, m)
@@ -330,10 +358,12 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float
     x = np.unique(_packed(drawn)).view(kind).reshape(-1, dim).astype(np.float64)
     different = n * len(x) // len(drawn)
     lists = max(1, min(MOST_LISTS, different // list_rows, len(x) // 8))
-    index = Index.fit(x, lists, top, k, recall, of=different)
+    some = t.where(F.pmod("id", F.lit(query_every)) == 0).where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1, 1024 / asking)))
+    some = [rows[1] for b in some.limit(2048).toArrow().combine_chunks().to_batches() if (rows := _valid(b, dim, kind)) is not None]
+    index = Index.fit(x, lists, top, k, recall, of=different, asking=np.concatenate(some).astype(np.float64) if some else None)
     at = index.assign(x)
     segments = np.maximum(1, -(-np.bincount(at[at >= 0], minlength=lists) * different // (len(x) * SEGMENT)))
-    shared = spark.sparkContext.broadcast(index)  # MOST_LISTS * (dim + 1 + DEGREE + 2) * 8 bytes at most
+    shared = spark.sparkContext.broadcast(index)  # MOST_LISTS * (dim + 1 + DEGREE + 4) * 8 bytes at most
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -409,7 +439,7 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = 20, recall: float
         packed, of = np.unique(_packed(np.frombuffer(b"".join(v), kind).reshape(-1, dim)), return_inverse=True)
         ids, of = np.unique(np.stack([ids, of]), axis=1)  # rows that are repeated
         q = packed.view(kind).reshape(-1, dim).astype(np.float64)
-        beam = max(8, lists // 64)
+        beam = beam_of(lists)
         chosen = np.concatenate([shared.value.lists(q[i : i + 128], beam, held, (k + 1) * COPIES) for i in range(0, len(q), 128)])
         best = Answers(q, top, k + 1)
         for c, vs, own, counts in _lists(root, np.flatnonzero(chosen.any(0))):

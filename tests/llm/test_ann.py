@@ -123,3 +123,17 @@ def test_answers_against_a_sort(monkeypatch):
         s = np.repeat(x @ q, 3)
         order = np.lexsort((ids.ravel(), -s))[:7]
         assert got.tolist() == ids.ravel()[order].tolist() and score.tolist() == s[order].tolist()
+
+
+@pytest.mark.parametrize("kind", ["tight clusters", "queries elsewhere"])
+def test_recall_where_clusters_are_apart_or_queries_unlike_the_rest(spark, kind):
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(20 if kind == "tight clusters" else 50, 32))
+    x = middle[rng.integers(0, len(middle), 4000)] + 0.05 * rng.normal(size=(4000, 32))
+    if kind == "queries elsewhere":
+        x[::20] = rng.normal(size=(200, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    true, got = brute(rows), {}
+    for q, _, i, _ in run(spark, rows, list_rows=64):
+        got.setdefault(q, []).append(i)
+    assert np.mean([len(set(got[q]) & set(true[q])) / 20 for q in true]) >= 0.9
