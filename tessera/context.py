@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions import text as T
+from tessera.functions import vectors as V
 
 SEPARATOR = "\n\n---\n\n"
 #: Fixed value: the instruction that the model gets.
@@ -14,11 +15,11 @@ SYSTEM = "You are a concise TA. Answer ONLY from the provided context. If the an
 
 
 def block(pos: Column, title: Column, section: Column, doc: Column, score: Column, snippet: Column) -> Column:
-    return F.format_string("[%d] %s — %s (docId=%s, score=%.4f)\n%s", pos, title, section, doc, score, snippet)
+    return F.format_string("[%d] %s — %s (docId=%s, score=%.4f)\n%s", pos, title, section, doc, V.rounded(score, 4), snippet)
 
 
 def hit_block(source: Column, doc: Column, chunk: Column, score: Column, text: Column) -> Column:
-    return F.format_string("[%s #%d | score=%.4f]\n%s", F.when(F.length(F.coalesce(source, F.lit(""))) > 0, source).otherwise(doc), chunk, score, text)
+    return F.format_string("[%s #%d | score=%.4f]\n%s", F.when(F.length(F.coalesce(source, F.lit(""))) > 0, source).otherwise(doc), chunk, V.rounded(score, 4), text)
 
 
 def joined(df: DataFrame, group: list[str], order: list[str], text: str, separator: str = SEPARATOR) -> DataFrame:

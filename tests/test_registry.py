@@ -41,3 +41,17 @@ def test_flagship(spark):
     r = QUERIES["build_incremental"](spark, DATA).first()
     assert r.numChangedDocs == 200 and r.indexRows == r.numEmbeddingsWritten == r.numChunksWritten > 200
     assert r.rerunWork == 0 and r.context.startswith("[0] ")
+
+
+@pytest.mark.parametrize("name", ["hit_blocks", "context_blocks", "context_from_hits", "pair_similarity"])
+def test_scores_at_half_a_digit(spark, tmp_path, name):
+    """Scores such as 0.06495 and -0.00001 are written with the digits that SQL gives them."""
+    scores = [1.0, 0.06495, 0.00015, -0.00001, -0.06495, 0.12345, -0.0000001, 0.00005, 0.99985]
+    spark.createDataFrame([(i, f"text {i} of some more words than forty characters hold", "en", "src", 10) for i in range(len(scores))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [s, (1 - s * s) ** 0.5], 0) for i, s in enumerate(scores)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    r = con.sql(SQL[name])
+    df = QUERIES[name](spark, str(tmp_path)).select(r.columns)
+    assert sorted(map(repr, df.collect())) == sorted(repr(type(df.first())(**dict(zip(r.columns, x, strict=True)))) for x in r.fetchall())
