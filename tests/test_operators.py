@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import Config
+from tessera.operators import chunk as chunk_
 from tessera.operators import delta, knn, rerank, topk
 from tessera.operators.chunk import Sentences, fixed_windows
 
@@ -114,3 +115,58 @@ def test_exact_knn(spark):
         s = u @ u[q]
         s[q] = -9
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.argsort(-s)[:3].tolist()
+
+
+def test_exact_knn_holds_a_tile_of_scores_not_a_batch(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 16))
+
+    class Base:
+        """Stands for a frame: its function is called in this process."""
+
+        class sparkSession:  # noqa: N801
+            class sparkContext:  # noqa: N801
+                @staticmethod
+                def broadcast(value):
+                    return type("Shared", (), {"value": value})
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            return f
+
+    monkeypatch.setattr(knn.F, "col", lambda _: type("C", (), {"cast": lambda s, t: s, "alias": lambda s, n: s})())
+    one = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["vec_id", "v"])
+    query = one.slice(0, 3000)
+    try:
+        run = knn._block(Base(), query, 5, "vec_id", "v", "cosine")
+    except (AttributeError, TypeError):  # as rows, not as a batch
+        row = type("Row", (tuple,), {"v": property(lambda s: s[1])})
+        run = knn._block(Base(), [row(r) for r in zip(query.column(0).to_pylist(), query.column(1).to_pylist(), strict=True)], 5, "vec_id", "v", "cosine")
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(run(iter([one]))))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120 << 20  # all scores of the batch are 288 MB
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(0, 3000, 500):
+        s = u @ u[q]
+        s[q] = -9
+        own = got.filter(pa.compute.equal(got["query_id"], q)).sort_by([("score", "descending")])
+        assert own["vec_id"].to_pylist() == np.argsort(-s)[:5].tolist()
+
+
+def test_exact_knn_ties_by_id_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 4)
+    rows = [(i, [1.0, 2.0, 0.1 * (i % 3)]) for i in range(60)] + [(90, [0.0, 0.0, 0.0]), (91, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in knn.exact_knn(df, df.where("vec_id % 20 = 0 OR vec_id > 89"), 4).collect()}
+    for q in (0, 20, 40):
+        assert [got[q, r] for r in (1, 2, 3, 4)] == [i for i in range(60) if i % 3 == q % 3 and i != q][:4]
+    assert [got[91, r] for r in (1, 2, 3, 4)] == [got[90, r] for r in (1, 2, 3, 4)] == [0, 1, 2, 3]
