@@ -170,3 +170,8 @@ def test_exact_knn_ties_by_id_over_tiles(spark, monkeypatch):
     for q in (0, 20, 40):
         assert [got[q, r] for r in (1, 2, 3, 4)] == [i for i in range(60) if i % 3 == q % 3 and i != q][:4]
     assert [got[91, r] for r in (1, 2, 3, 4)] == [got[90, r] for r in (1, 2, 3, 4)] == [0, 1, 2, 3]
+
+
+def test_exact_knn_queries_without_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, None)], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in knn.exact_knn(df, df.where("vec_id = 20"), 5).orderBy("rank").collect()] == [(0, 0.0), (1, 0.0)]
