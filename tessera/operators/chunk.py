@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions.text import PUNCTUATION
 
+#: Texts whose pieces a task holds at a time.
+SLICE = 64
 PIECES = "array<struct<ix:int,start:int,end:int,text:string>>"
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 _PAGE = re.compile(r"[^a-zA-Z0-9]*[0-9]{1,4}[^a-zA-Z0-9]*\Z")
@@ -99,9 +101,11 @@ def sentence_chunks(docs: DataFrame, keys: list[str], text: str = "norm", config
         import pyarrow as pa
 
         piece = pa.list_(pa.struct([("ix", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
-        for b in batches:
-            found = [cutter.split(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, piece)], names=[*b.schema.names[:-1], "pieces"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                b = batch.slice(i, SLICE)
+                found = [cutter.split(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, piece)], names=[*b.schema.names[:-1], "pieces"])
 
     d = docs.select(*keys, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema[:-1]) + f", pieces {PIECES}"

@@ -175,3 +175,19 @@ def test_exact_knn_ties_by_id_over_tiles(spark, monkeypatch):
 def test_exact_knn_queries_without_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, None)], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in knn.exact_knn(df, df.where("vec_id = 20"), 5).orderBy("rank").collect()] == [(0, 0.0), (1, 0.0)]
+
+
+@pytest.mark.parametrize("step", ["chunk_compat", "embed_hashing", "extract_html"])
+def test_a_step_holds_a_slice_of_a_batch(spark, monkeypatch, step):
+    """What is made of a batch's first texts leaves the task before the others are worked on."""
+    import pyarrow as pa
+
+    from tessera.models import HashingEmbedder, embed_column
+    from tessera.sources import files
+
+    df = spark.createDataFrame([("u.html", b"x")], "uri string, content binary" if step == "extract_html" else "uri string, norm string")
+    found, batch = [], pa.RecordBatch.from_pydict({"uri": [f"{i}.html" for i in range(1000)], ("content" if step == "extract_html" else "norm"): [b"<p>abc" if step == "extract_html" else "abc " * 300] * 1000})
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: found.append(f) or self.selectExpr("*", "array(struct(1 AS ix, 1 AS start, 1 AS end, '' AS text)) AS pieces"))
+    {"chunk_compat": lambda: chunk_.sentence_chunks(df, ["uri"], compat=True), "embed_hashing": lambda: embed_column(df, "norm", HashingEmbedder()), "extract_html": lambda: files.extract_text(df)}[step]()
+    out = list(found[0](iter([batch])))
+    assert max(b.num_rows for b in out) <= 64 and pa.Table.from_batches(out)["uri"].to_pylist() == batch["uri"].to_pylist()
