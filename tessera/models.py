@@ -121,18 +121,17 @@ def embed_column(df: DataFrame, text: str, embedder: Embedder, batch: int = 64)
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            texts = [t or "" for t in b.column(place).to_pylist()]
-            out: list[list[float]] = []
-            for i in range(0, len(texts), batch):
-                got = embedder.embed(texts[i : i + batch])
-                if len(got) != len(texts[i : i + batch]):
+        for whole in batches:
+            for i in range(0, whole.num_rows, batch):  # what a call returns goes on before the next one
+                b = whole.slice(i, batch)
+                texts = [t or "" for t in b.column(place).to_pylist()]
+                out = embedder.embed(texts)
+                if len(out) != len(texts):
                     raise ModelError("an embedder returned fewer vectors than texts")
-                out += got
-            x = np.array(out, np.float64).reshape(len(out), -1)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = (x / np.where(n == 0, 1, n)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(x), pa.list_(pa.float32()))], names=[*b.schema.names, "embedding"])
+                x = np.array(out, np.float64).reshape(len(out), -1)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                x = (x / np.where(n == 0, 1, n)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(x), pa.list_(pa.float32()))], names=[*b.schema.names, "embedding"])
 
     return df.mapInArrow(run, schema)
 
