@@ -30,9 +30,13 @@ class Store:
     def read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name)) if self.exists(name) else schemas.empty(self.spark, schema)
 
-    def append(self, df: DataFrame, name: str, partitions: list[str], order: str = "docId") -> None:
-        """Append, files of rows_per_file rows; sorted by `order` within. A partition's rows are dealt out by `order`, so that a large one is no single task."""
-        w = df.repartition(*partitions, order).sortWithinPartitions(*partitions, order).write.mode("append")
+    def append(self, df: DataFrame, name: str, partitions: list[str], order: str = "docId", once: str | None = None) -> None:
+        """Append, files of rows_per_file rows; sorted by `order` within. A partition's rows are dealt out by `order`, so that a large one is no single task.
+
+        once: of rows with the same partition, `order` and this column one is written; that takes no shuffle of its own.
+        """
+        dealt = df.repartition(*partitions, order)
+        w = (dealt.dropDuplicates([*partitions, order, once]) if once else dealt).sortWithinPartitions(*partitions, order).write.mode("append")
         w.option("maxRecordsPerFile", self.rows_per_file).partitionBy(*partitions).parquet(self.path(name))
 
     def overwrite_partitions(self, df: DataFrame, name: str, partitions: list[str]) -> None:

@@ -154,3 +154,16 @@ def test_only_suspect_files_are_read(spark, tmp_path):
     assert len(some.inputFiles()) == 2
     none = suspects(spark, str(tmp_path), listing.where("false"), "*")
     assert none.collect() == [] and "FileScan" not in none._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_rerun_publishes_nothing_and_a_first_run_compares_nothing(spark, root, monkeypatch):
+    from tessera.plans import build as module
+
+    joined, publish, own = [], [], Store.publish
+    monkeypatch.setattr(module, "matching", lambda files, uris: joined.append(1) or files.join(uris.select("uri"), "uri", "left_semi"))
+    monkeypatch.setattr(Store, "publish", lambda self, *a: publish.append(1) or own(self, *a))
+    sources = spark.createDataFrame([(f"u{i}", 9, 0, bytearray(("some words that go on. " * 9 + str(i)).encode())) for i in range(3)], "uri string, length long, mtime long, content binary")
+    first = module.build(spark, sources, root, HashingEmbedder())
+    assert not joined and len(publish) == 1 and first["indexRows"] == 3
+    assert module.build(spark, sources, root, HashingEmbedder())["indexRows"] == 3
+    assert len(publish) == 1
