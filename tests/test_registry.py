@@ -55,3 +55,8 @@ def test_scores_at_half_a_digit(spark, tmp_path, name):
     r = con.sql(SQL[name])
     df = QUERIES[name](spark, str(tmp_path)).select(r.columns)
     assert sorted(map(repr, df.collect())) == sorted(repr(type(df.first())(**dict(zip(r.columns, x, strict=True)))) for x in r.fetchall())
+
+
+def test_index_join_reads_texts_once(spark):
+    df = QUERIES["index_join"](spark, DATA)
+    assert "documents.parquet" not in "".join(df.inputFiles())  # they were cut before
